@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from shelfmark.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from shelfmark.llm.pieces import op5_sentencepiece
+from shelfmark.llm.secrets import op4_secret_scan
+from shelfmark.llm.simhash import op8_simhash
 
 QUERIES = {
+    "op4_secret_scan": op4_secret_scan,
     "op5_sentencepiece": op5_sentencepiece,
+    "op8_simhash": op8_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE_SQL = {"op10_exact_dedup": OP10_SQL}

@@ -43,3 +43,23 @@ def slices(batches: Iterator[pa.RecordBatch], name: str, limit: int = 8_000_000)
 def pick(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under fixed names, whatever else the table has."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_chars: int, where: Column | None = None):
+    """A bounded sample of labelled texts for fitting: [(text, label 0 or 1)], and the rows of each label there are.
+
+    ``per_class`` rows of each label at most, taken in hash order of the id, of at most ``most_chars`` characters each.
+    Null ids, labels and texts are left out; where an id has several labels, the largest counts.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    if where is not None:
+        known = known.where(where)
+    counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    found: list[tuple[str, int]] = []
+    for y in (0, 1):
+        ids = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        rows = pick(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.length("text") <= most_chars)
+        top = rows.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(per_class).select("text", "y")
+        found += [(t, y) for t in top.toArrow().column("text").to_pylist()]
+    return found, counts

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from shelfmark.llm.chat import op7_chat_format
+from shelfmark.llm.decontam import op9_decontam
 from shelfmark.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from shelfmark.llm.pieces import op5_sentencepiece
+from shelfmark.llm.quality import op3_quality
 from shelfmark.llm.secrets import op4_secret_scan
 from shelfmark.llm.simhash import op8_simhash
+from shelfmark.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op3_quality": op3_quality,
     "op4_secret_scan": op4_secret_scan,
     "op5_sentencepiece": op5_sentencepiece,
+    "op7_chat_format": op7_chat_format,
     "op8_simhash": op8_simhash,
+    "op9_decontam": op9_decontam,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE_SQL = {"op10_exact_dedup": OP10_SQL}

@@ -239,7 +239,7 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 def piece_codes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, verify: bool = True, keep_ids: bool = False
 ) -> DataFrame:
-    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``keep_ids`` ids and decoded.
+    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``keep_ids`` the ids.
 
     ``model`` is a path that every executor can read; the default is the installed public vocabulary. A null text
     counts as empty and has no ids. Repeated rows are encoded each; an empty table gives an empty result. ``verify``
@@ -250,7 +250,7 @@ def piece_codes(
         coder = encoder(model or model_path(), verify)
         for batch in slices(batches, "text", 4_000_000):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            counts, named, back, all_ids, all_text = [], [], [], [], []
+            counts, named, back, all_ids = [], [], [], []
             for joined, ids in coder.encode_batch(texts):
                 text = coder.decode(ids)
                 counts.append(len(ids))
@@ -258,15 +258,14 @@ def piece_codes(
                 back.append(hashlib.sha256(text.encode()).hexdigest())
                 if keep_ids:
                     all_ids.append(ids)
-                    all_text.append(text)
             out = [batch.column(0), pa.array(counts, pa.int64()), pa.array(named, pa.string()), pa.array(back, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                out += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_text, pa.string())]
-                names += ["ids", "decoded"]
+                out.append(pa.array(all_ids, pa.list_(pa.int32())))
+                names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names)
 
-    more = ", ids array<int>, decoded string" if keep_ids else ""
+    more = ", ids array<int>" if keep_ids else ""
     return pick(docs, id_col, text_col).mapInArrow(run, f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
 
 

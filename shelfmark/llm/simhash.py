@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import pick, slices
+from shelfmark.llm.common import pick, row_key, slices
 from shelfmark.operators.components import connected_components
 from shelfmark.session import checkpointed, read_table
 
@@ -83,14 +83,15 @@ def _bits(h: np.ndarray, lane: int) -> np.ndarray:
 
 def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int) -> DataFrame:
     """doc_id, rk1, rk2 and the fingerprint's numbers fp0, fp1, ... (signed) of every row."""
+    keyed = pick(docs, id_col, text_col).select("doc_id", *row_key(F.col("doc_id"), F.col("text")), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = fingerprints([shingle_hashes(t or "", words) for t in batch.column(1).to_pylist()], lanes).view(np.int64)
-            out = [batch.column(0), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(lanes))]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", *(f"fp{k}" for k in range(lanes))])
+            found = fingerprints([shingle_hashes(t or "", words) for t in batch.column(3).to_pylist()], lanes).view(np.int64)
+            out = [*batch.columns[:3], *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(lanes))]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "rk1", "rk2", *(f"fp{k}" for k in range(lanes))])
 
-    return pick(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"fp{k} long" for k in range(lanes)))
+    return keyed.mapInArrow(run, "doc_id long, rk1 long, rk2 long, " + ", ".join(f"fp{k} long" for k in range(lanes)))
 
 
 class VantageTree:
@@ -190,7 +191,7 @@ def _compare(link_bits: int, confirm_bits: int, lanes: int, table: pa.Table) ->
     return pa.table({"src": pa.array(ids[linked]), "dst": pa.array(ids[label[linked]])})
 
 
-def hamming_links(points: DataFrame, link_bits: int, confirm_bits: int = 0, lanes: int = 1) -> DataFrame:
+def hamming_links(points: DataFrame, link_bits: int, confirm_bits: int = 0, lanes: int = 1, leaf_members: int = LEAF_MEMBERS) -> DataFrame:
     """Edges (src, dst) that join, directly or through others, every two rows of ``points`` within link_bits.
 
     ``points``: node long, fp0 long (64 bits), and with more lanes fp1, ...: then a link also needs the other lanes
@@ -200,7 +201,7 @@ def hamming_links(points: DataFrame, link_bits: int, confirm_bits: int = 0, lane
     spark = points.sparkSession
     count = points.count()
     sample = np.array([r[0] for r in points.select("fp0").orderBy(F.xxhash64("fp0")).limit(TREE_SAMPLE).collect()], np.int64).view(np.uint64)
-    trees = [VantageTree(sample, mask, max(1, min(count // LEAF_MEMBERS, len(sample) // 8))) for mask in subspaces(link_bits)]
+    trees = [VantageTree(sample, mask, max(1, min(count // leaf_members, len(sample) // 8))) for mask in subspaces(link_bits)]
     shared = spark.sparkContext.broadcast(trees)  # bounded by TREE_SAMPLE
     names = ["node", *(f"fp{k}" for k in range(lanes))]
     columns = ", ".join(f"{n} long" for n in names)
@@ -252,8 +253,11 @@ def simhash_groups(
     link_bits: int = 4,
     lanes: int = 1,
     confirm_bits: int = 0,
+    leaf_members: int = LEAF_MEMBERS,
 ) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
+    """One row per input row: doc_id, fingerprint (16 hex digits), component_id, rk1, rk2, and keep1, keep2.
+
+    keep1 and keep2 are the row key of the component's first row (by doc_id, null ids last).
 
     component_id is the smallest doc_id reachable over links (fingerprints that differ in link_bits at most), the
     row's own included; a row whose whole component has null ids gets null. A null or empty text has the fingerprint
@@ -261,18 +265,30 @@ def simhash_groups(
     result. Equal fingerprints are one point, so copies cost no comparisons; no link between different ones is lost.
     """
     fps = [f"fp{k}" for k in range(lanes)]
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "rk1", "rk2")
     table = checkpointed(fingerprint_table(docs, id_col, text_col, words, lanes))
     points = checkpointed(
-        table.groupBy(*fps).agg(F.min("doc_id").alias("least")).sortWithinPartitions(*fps).withColumn("node", F.monotonically_increasing_id())
+        table.groupBy(*fps).agg(F.min("doc_id").alias("least"), F.min(first).alias("first")).sortWithinPartitions(*fps).withColumn("node", F.monotonically_increasing_id())
     )
-    edges = checkpointed(hamming_links(points, link_bits, confirm_bits, lanes))
+    edges = checkpointed(hamming_links(points, link_bits, confirm_bits, lanes, leaf_members))
     labels = connected_components(edges).withColumnRenamed("component", "root")
     rooted = points.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select(*fps, "component_id")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("keep"))
+    named = rooted.join(least, "root").select(*fps, "component_id", F.col("keep.rk1").alias("keep1"), F.col("keep.rk2").alias("keep2"))
     # Copies of one text share a fingerprint and may be many: a sort-merge join, whose large partitions are split.
-    return table.join(named.hint("merge"), fps).select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
+    return table.join(named.hint("merge"), fps).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id", "rk1", "rk2", "keep1", "keep2"
+    )
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """``docs`` with one row of each component, the one of the smallest doc_id; all columns stay."""
+    groups = simhash_groups(docs, id_col, text_col, **params)
+    kept = groups.where("rk1 = keep1 and rk2 = keep2").select(F.col("rk1").alias("__rk1"), F.col("rk2").alias("__rk2")).distinct()
+    a, b = row_key(F.col(id_col).cast("long"), F.col(text_col))
+    rows = docs.withColumns({"__rk1": a, "__rk2": b}).join(kept, ["__rk1", "__rk2"], "left_semi")
+    return rows.dropDuplicates(["__rk1", "__rk2"]).drop("__rk1", "__rk2")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
-    return simhash_groups(read_table(spark, sf_dir, "documents"))
+    return simhash_groups(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")

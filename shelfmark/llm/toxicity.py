@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.llm.common import labelled_sample, pick, slices
 from shelfmark.session import read_table
@@ -140,8 +141,8 @@ def severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays(columns + list(found.values()), names + [f"__{k}" if carry else k for k in found])
 
     if carry:
-        schema = docs.schema
-        for name, kind in (("__severity", "double"), ("__grade", "int"), ("__toxic", "boolean")):
+        schema = T.StructType(list(docs.schema.fields))
+        for name, kind in (("__severity", T.DoubleType()), ("__grade", T.IntegerType()), ("__toxic", T.BooleanType())):
             schema = schema.add(name, kind)
         return docs.mapInArrow(run, schema)
     return pick(docs, id_col, text_col).mapInArrow(run, "doc_id long, severity double, grade int, toxic boolean")

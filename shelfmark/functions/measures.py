@@ -15,7 +15,7 @@ def perceptual_bits(coefficients: Column) -> Column:
     """63 bits as a long: bit i is set where coefficient i exceeds the 32nd smallest of the 63."""
     c = F.slice(coefficients, 1, 63)
     median = F.element_at(F.sort_array(c), 32)
-    bits = F.transform(c, lambda x, i: F.when(x > median, F.shiftleft(F.lit(1).cast("long"), i.cast("int"))).otherwise(F.lit(0).cast("long")))
+    bits = F.transform(c, lambda x, i: F.when(x > median, F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))).otherwise(F.lit(0).cast("long")))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a + b)
 
 

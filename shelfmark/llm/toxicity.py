@@ -24,7 +24,7 @@ from shelfmark.session import read_table
 
 GRADES = 3
 #: Rows of each label that fitting uses at most, the longest text among them, and the words that get a weight.
-SAMPLE_PER_CLASS, SAMPLE_CHARS, VOCABULARY = 4_000, 50_000, 5_000
+SAMPLE_PER_CLASS, SAMPLE_CHARS, VOCABULARY = 4_000, 50_000, 400
 #: A text is toxic from this probability of grade 1 or more on.
 CUT = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
@@ -65,7 +65,7 @@ def _features(sample: list[Counter], y: np.ndarray, size: int) -> tuple[list[str
     return chosen, marks
 
 
-def fit_ordinal(sample: list[tuple[str, int]], counts: dict[int, int], size: int = VOCABULARY, rounds: int = 400, rate: float = 0.05, penalty: float = 1e-4) -> OrdinalModel:
+def fit_ordinal(sample: list[tuple[str, int]], counts: dict[int, int], size: int = VOCABULARY, rounds: int = 400, rate: float = 0.05, penalty: float = 3e-5) -> OrdinalModel:
     """Penalised maximum likelihood by Adam over the whole sample; classes are weighted to their share of all labels."""
     y = np.array([v for _, v in sample], int)
     if len(set(y.tolist())) < 2:

@@ -11,7 +11,8 @@ NEAREST_M = 30_000.0
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    # least() would pass over a null, so an unknown position must not get that far.
+    return F.when(a.isNotNull(), 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(a))))
 
 
 def reach_m(population: Column) -> Column:

@@ -74,7 +74,7 @@ p AS (SELECT *, CASE WHEN k % 3 <> 0 THEN 40 + (k % 7) * 0.01::DOUBLE END AS lat
 
 
 def _hav(a, b, c, d):
-    return f"2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))))"
+    return f"CASE WHEN {a} + {b} + {c} + {d} IS NOT NULL THEN 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)))) END"
 
 
 def _sessions(part: str, gap: int, place_gap: int) -> str:

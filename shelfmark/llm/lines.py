@@ -167,7 +167,7 @@ def _occurrences(keyed: DataFrame, least: int) -> DataFrame:
             more = [pa.array(numbers, pa.int32()), pa.array(left, pa.int64()), pa.array(right, pa.int64())]
             yield pa.RecordBatch.from_arrays(kept + more, ["doc_id", "rk1", "rk2", "line_no", "h1", "h2"])
 
-    return keyed.mapInArrow(emit, "doc_id long, rk1 long, rk2 long, line_no int, h1 long, h2 long")
+    return keyed.mapInArrow(emit, "doc_id long, rk1 long, rk2 long, line_no int, h1 long, h2 long").where("h1 is not null and h2 is not null")
 
 
 def line_links(texts: DataFrame, text_col: str = "text", edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
@@ -205,7 +205,8 @@ def line_links(texts: DataFrame, text_col: str = "text", edits: int = EDITS, lea
                 yield batch.select([0, 1, 2, 3]).filter(pa.array(banded_within(pairs, edits)))
 
     # Each task sends a line once; lines are then dealt by their hash, and the joins below need no other exchange of text.
-    sent = texts.select(text_col).mapInArrow(once, "h1 long, h2 long, line string")
+    # The filter says what the joins would infer, each for itself; so all of them share one exchange.
+    sent = texts.select(text_col).mapInArrow(once, "h1 long, h2 long, line string").where("h1 is not null")
     distinct = sent.repartition("h1").dropDuplicates(["h1", "h2", "line"])
     entries = distinct.select("h1", "line").mapInArrow(keys, "key long, id long, parity int, probe boolean")
     index = entries.where("not probe").select("key", F.col("id").alias("a"), F.col("parity").alias("pa"))
@@ -230,12 +231,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = _occurrences(keyed, least)
     place = F.struct("doc_id", "rk1", "rk2", "line_no")
     links = checkpointed(line_links(keyed, "text", edits, least))
-    firsts = places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    ends = firsts.select("h1", "h2", "first")
+    firsts = places.groupBy("h1", "h2").agg(F.min(place).alias("first"))
     both = links.select(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.col("b1").alias("o1"), F.col("b2").alias("o2"))
     both = both.unionAll(links.select(F.col("b1").alias("h1"), F.col("b2").alias("h2"), F.col("a1").alias("o1"), F.col("a2").alias("o2")))
-    others = both.join(ends, ["h1", "h2"]).select("o1", "o2", F.col("first").alias("other")).groupBy("o1", "o2").agg(F.min("other").alias("other"))
-    verdict = firsts.join(others, (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2")), "left").where("n > 1 or other < first")
+    others = both.join(firsts, ["h1", "h2"]).select("o1", "o2", F.col("first").alias("other")).groupBy("o1", "o2").agg(F.min("other").alias("other"))
+    verdict = firsts.join(others, (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2")), "left")
     verdict = verdict.select("h1", "h2", "first", F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("linked"))
     gone = places.join(verdict.hint("merge"), ["h1", "h2"]).where(F.col("linked") | (place != F.col("first")))
     lines = gone.groupBy("doc_id", "rk1", "rk2", "line_no").agg(F.max("linked").alias("linked"))

@@ -22,26 +22,37 @@ BLOCK_BYTES = 4096
 _NO_RIGHT = -1
 
 
-def _blocks(size: int, keys: bool):
+def _blocks(size: int, places: bool):
+    """Distinct blocks of each slice of a batch, with ``places`` also where they stand: many copies of one text in a
+    task become one row before the shuffle, whose list a slice bounds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            ids = batch.column(0).to_pylist()
             lowered = pc.ascii_lower(batch.column(1)).to_pylist()
-            out: dict[str, list] = {"doc_id": [], "digest": [], "pos": [], "last": [], "block": []}
-            for doc_id, text in zip(ids, lowered, strict=True):
+            found: dict[bytes, list[int]] = {}
+            own, pos, last, digests = [], [], [], []
+            for row, text in enumerate(lowered):
                 raw = (text or "").encode()
-                digest = hashlib.sha256(raw).digest() if keys else b""
                 n = max(1, -(-len(raw) // size))
-                out["doc_id"] += [doc_id] * n
-                out["digest"] += [digest] * n
-                out["pos"] += range(n)
-                out["last"] += [n - 1] * n
-                out["block"] += [raw[k * size : (k + 1) * size] for k in range(n)]
-            if not keys:
-                yield pa.RecordBatch.from_pydict({"block": pa.array(list(set(out["block"])), pa.binary())})
-            else:
-                types = {"doc_id": pa.int64(), "digest": pa.binary(), "pos": pa.int32(), "last": pa.int32(), "block": pa.binary()}
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, types[k]) for k, v in out.items()})
+                for k in range(n):
+                    found.setdefault(raw[k * size : (k + 1) * size], []).append(len(own) + k)
+                if places:
+                    digests.append(hashlib.sha256(raw).digest())
+                    pos += range(n)
+                    last += [n - 1] * n
+                own += [row] * n
+            out = {"block": pa.array(list(found), pa.binary())}
+            if places:
+                order = pa.array([i for items in found.values() for i in items], pa.int64())
+                rows = pa.array(own, pa.int64()).take(order)
+                fields = [
+                    batch.column(0).cast(pa.int64()).take(rows), pa.array(digests, pa.binary()).take(rows), pa.array(pos, pa.int32()).take(order), pa.array(last, pa.int32()).take(order),
+                ]
+                offsets = [0]
+                for items in found.values():
+                    offsets.append(offsets[-1] + len(items))
+                out["places"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, ["doc_id", "digest", "pos", "last"]))
+            yield pa.RecordBatch.from_pydict(out)
 
     return run
 
@@ -59,12 +70,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept and the others are not. An empty table gives an empty result. Columns other than the two named are ignored.
     """
     base = pick(docs, id_col, text_col)
-    cut = base.mapInArrow(_blocks(block_bytes, True), "doc_id long, digest binary, pos int, last int, block binary")
+    cut = base.mapInArrow(_blocks(block_bytes, True), "block binary, places array<struct<doc_id: long, digest: binary, pos: int, last: int>>")
     names = _named(base.mapInArrow(_blocks(block_bytes, False), "block binary").distinct(), "block")
     # The rows of a common block are many, those of its name one: a sort-merge join, whose large partitions are split.
     # Rows that repeat both id and text become one row that knows how often it occurred.
     level = checkpointed(
-        cut.join(names.hint("merge"), "block").groupBy("doc_id", "digest", "pos", "last", "name").agg(F.count("*").alias("copies"))
+        cut.join(names.hint("merge"), "block").select("name", F.inline("places")).groupBy("doc_id", "digest", "pos", "last", "name").agg(F.count("*").alias("copies"))
     )
     done: list[DataFrame] = []
     while True:
@@ -88,7 +99,8 @@ def _decide(done: list[DataFrame]) -> DataFrame:
     identity = done[0]
     for other in done[1:]:
         identity = identity.unionByName(other)
-    groups = identity.groupBy("depth", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    groups = checkpointed(identity.groupBy("depth", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")))
+    # Both sides now come straight from an exchange, so Spark can split the rows of a large group over several tasks.
     rows = identity.join(groups.hint("merge"), ["depth", "name"])
     return rows.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         "doc_id",

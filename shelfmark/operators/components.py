@@ -9,8 +9,12 @@ from shelfmark.session import checkpointed
 
 
 def _star(pairs: DataFrame) -> DataFrame:
-    """(u, v) neighbour rows with the least of u and its neighbours: partial minima are taken before the shuffle."""
-    least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    """(u, v) neighbour rows with the least of u and its neighbours: partial minima are taken before the shuffle.
+
+    The minima are checkpointed, so that both sides of the join come straight from an exchange and Spark can split the
+    rows of a hub with very many neighbours over several tasks.
+    """
+    least = checkpointed(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
     return pairs.join(least, "u")
 
 
@@ -26,8 +30,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     mark = None
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        tied = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = checkpointed(_star(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        tied = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(tied, "u")
         linked = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(tied.select("u", F.col("m").alias("v")))
         now = checkpointed(linked.distinct())

@@ -167,7 +167,8 @@ def _compare(link_bits: int, confirm_bits: int, lanes: int, table: pa.Table) ->
     rows = np.stack([table.column(f"fp{k}").to_numpy() for k in range(lanes)], axis=1).view(np.uint64)
     member = table.column("member").to_numpy(zero_copy_only=False).astype(bool)
     members = np.flatnonzero(member)
-    lefts, rights = [], []
+    every = np.arange(len(rows))
+    label, lefts, rights, held = every, [], [], 0
     if len(members):
         step = max(1, _CHUNK // len(members))
         own = rows[members, 0]
@@ -181,11 +182,10 @@ def _compare(link_bits: int, confirm_bits: int, lanes: int, table: pa.Table) ->
             ok = a != b
             lefts.append(a[ok])
             rights.append(b[ok])
-    if lefts:
-        left, right = np.concatenate(lefts), np.concatenate(rights)
-        label = _forest(len(rows), left, right)
-    else:
-        label = np.arange(len(rows))
+            held += int(ok.sum())
+            if held > _CHUNK:  # where all are near each other, the forest so far stands for their many links
+                label, lefts, rights, held = _forest(len(rows), np.concatenate([*lefts, every]), np.concatenate([*rights, label])), [], [], 0
+        label = _forest(len(rows), np.concatenate([*lefts, every]), np.concatenate([*rights, label]))
     linked = np.flatnonzero(label != np.arange(len(rows)))
     ids = table.column("node").to_numpy()
     return pa.table({"src": pa.array(ids[linked]), "dst": pa.array(ids[label[linked]])})
@@ -273,9 +273,12 @@ def simhash_groups(
     edges = checkpointed(hamming_links(points, link_bits, confirm_bits, lanes, leaf_members))
     labels = connected_components(edges).withColumnRenamed("component", "root")
     rooted = points.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("keep"))
+    rooted = checkpointed(rooted)
+    least = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("keep")))
     named = rooted.join(least, "root").select(*fps, "component_id", F.col("keep.rk1").alias("keep1"), F.col("keep.rk2").alias("keep2"))
-    # Copies of one text share a fingerprint and may be many: a sort-merge join, whose large partitions are split.
+    # Copies of one text share a fingerprint and may be many: both sides come straight from an exchange, so Spark can
+    # split a common fingerprint's rows over several tasks.
+    named = checkpointed(named)
     return table.join(named.hint("merge"), fps).select(
         "doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id", "rk1", "rk2", "keep1", "keep2"
     )

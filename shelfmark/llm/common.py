@@ -26,7 +26,7 @@ def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], name: str, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], name: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of a text column, or a single row."""
     for batch in batches:
         lengths = pa.compute.binary_length(batch.column(batch.schema.get_field_index(name))).to_pylist()

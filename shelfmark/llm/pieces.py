@@ -28,7 +28,7 @@ from shelfmark.session import read_table
 SPACE = "▁"
 SHORT = 48
 #: Segments in the younger half of a worker's memory; as many older ones are kept besides.
-CACHE_SEGMENTS = 300_000
+CACHE_SEGMENTS = 160_000
 _NONE = 2**24
 _MANY = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _ENCODERS: dict = {}
@@ -248,7 +248,7 @@ def piece_codes(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(model or model_path(), verify)
-        for batch in slices(batches, "text", 4_000_000):
+        for batch in slices(batches, "text", 2_000_000):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             counts, named, back, all_ids = [], [], [], []
             for joined, ids in coder.encode_batch(texts):

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfmark.llm.common import pick, row_key, slices
-from shelfmark.session import read_table
+from shelfmark.session import checkpointed, read_table
 
 SENTENCES, WORDS, LONG = 3, 15, 24
 _END = re.compile(r"[.!?…]+\s+|\n+")
@@ -94,7 +94,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = keyed.mapInArrow(emit, "doc_id long, rk1 long, rk2 long, h1 long, h2 long, start int, end int")
     place = F.struct("doc_id", "rk1", "rk2", "start")
     # A run's occurrences are merged in each task before they are shuffled, so a common passage is a row per task.
-    firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # They are checkpointed, so that Spark can split the occurrences of such a passage over several tasks of the join.
+    firsts = checkpointed(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     again = found.join(firsts.hint("merge"), ["h1", "h2"]).where(place != F.col("first"))
     doc = ["doc_id", "rk1", "rk2"]
     covered = again.groupBy(*doc, "start").agg(F.max("end").alias("end"), F.min("first.doc_id").alias("first_doc_id"))

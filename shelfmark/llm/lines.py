@@ -231,12 +231,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = _occurrences(keyed, least)
     place = F.struct("doc_id", "rk1", "rk2", "line_no")
     links = checkpointed(line_links(keyed, "text", edits, least))
-    firsts = places.groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    firsts = places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     both = links.select(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.col("b1").alias("o1"), F.col("b2").alias("o2"))
     both = both.unionAll(links.select(F.col("b1").alias("h1"), F.col("b2").alias("h2"), F.col("a1").alias("o1"), F.col("a2").alias("o2")))
-    others = both.join(firsts, ["h1", "h2"]).select("o1", "o2", F.col("first").alias("other")).groupBy("o1", "o2").agg(F.min("other").alias("other"))
-    verdict = firsts.join(others, (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2")), "left")
-    verdict = verdict.select("h1", "h2", "first", F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("linked"))
+    others = both.join(firsts.where("n > 0"), ["h1", "h2"]).select("o1", "o2", F.col("first").alias("other")).groupBy("o1", "o2").agg(F.min("other").alias("other"))
+    verdict = firsts.join(others, (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2")), "left").where("n > 1 or other < first")
+    # Checkpointed, so that Spark can split the occurrences of a very common line over several tasks of the join.
+    verdict = checkpointed(verdict.select("h1", "h2", "first", F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("linked")))
     gone = places.join(verdict.hint("merge"), ["h1", "h2"]).where(F.col("linked") | (place != F.col("first")))
     lines = gone.groupBy("doc_id", "rk1", "rk2", "line_no").agg(F.max("linked").alias("linked"))
     return lines.groupBy("doc_id", "rk1", "rk2").agg(F.sort_array(F.collect_list("line_no")).alias("removed"), F.count_if("linked").alias("n_links"))

@@ -6,6 +6,9 @@ point and a radius, and a fingerprint goes inside or outside by its Hamming dist
 bound a ball of radius one crosses a node's border only at distance radius or radius + 1, so every other branch is
 pruned. A fingerprint is a member of one leaf (shard) of each tree and visits those leaves that its ball overlaps;
 members and visitors of a shard are compared with each other, bit-exactly, on all bits.
+
+Where groups are asked for by similarity, the links are candidates only. Keys of least hashes of the runs of words add
+those that the bits miss, and texts of one component of candidates are compared by the exact Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -28,6 +31,10 @@ TREE_SAMPLE = 32_768
 #: Members that a leaf is meant to have, and the most that one task compares with one block of visitors.
 LEAF_MEMBERS, BLOCK_MEMBERS = 600, 4_096
 _CHUNK = 1 << 18
+#: Candidates by similarity: so many keys of so many least hashes each; of pairs with a similarity of 0.8 they miss 3 in a million.
+KEYS, KEY_HASHES = 32, 5
+#: Members that one task compares exactly with as many visitors at once.
+EXACT_MEMBERS = 256
 
 
 def _mix(h: np.ndarray, k: int) -> np.ndarray:
@@ -81,17 +88,27 @@ def _bits(h: np.ndarray, lane: int) -> np.ndarray:
     return np.unpackbits((_mix(h, lane) if lane else h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int) -> DataFrame:
-    """doc_id, rk1, rk2 and the fingerprint's numbers fp0, fp1, ... (signed) of every row."""
+def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int, keys: bool = False) -> DataFrame:
+    """doc_id, rk1, rk2 and the fingerprint's numbers fp0, fp1, ... (signed) of every row.
+
+    With ``keys`` also set1 and set2, which stand for the set of runs of words, and keys (an empty set has none).
+    """
     keyed = pick(docs, id_col, text_col).select("doc_id", *row_key(F.col("doc_id"), F.col("text")), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = fingerprints([shingle_hashes(t or "", words) for t in batch.column(3).to_pylist()], lanes).view(np.int64)
+            hashes = [shingle_hashes(t or "", words) for t in batch.column(3).to_pylist()]
+            found = fingerprints(hashes, lanes).view(np.int64)
             out = [*batch.columns[:3], *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(lanes))]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "rk1", "rk2", *(f"fp{k}" for k in range(lanes))])
+            if keys:
+                sets = np.frombuffer(b"".join(xxhash.xxh3_128_digest(np.unique(h).tobytes()) for h in hashes), np.int64).reshape(-1, 2)
+                full = [h for h in hashes if len(h)]
+                ends = np.cumsum([0, *(KEYS * (len(h) > 0) for h in hashes)]).astype(np.int32)
+                out += [*(pa.array(sets[:, k].copy()) for k in range(2)), pa.ListArray.from_arrays(pa.array(ends), pa.array(run_keys(full).ravel() if full else [], pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, names)
 
-    return keyed.mapInArrow(run, "doc_id long, rk1 long, rk2 long, " + ", ".join(f"fp{k} long" for k in range(lanes)))
+    names = ["doc_id", "rk1", "rk2", *(f"fp{k}" for k in range(lanes)), *(["set1", "set2", "keys"] if keys else [])]
+    return keyed.mapInArrow(run, ", ".join(f"{n} {'array<long>' if n == 'keys' else 'long'}" for n in names))
 
 
 class VantageTree:
@@ -245,6 +262,79 @@ def hamming_links(points: DataFrame, link_bits: int, confirm_bits: int = 0, lane
     return dealt.withColumn("block", block).groupBy("shard", "block").applyInArrow(lambda part: _compare(link_bits, confirm_bits, lanes, part), "src long, dst long")
 
 
+def run_keys(hashes: list[np.ndarray]) -> np.ndarray:
+    """One row of KEYS signed numbers for each set of hashes (none of them empty): each joins KEY_HASHES least hashes."""
+    rng = np.random.default_rng(SEED)
+    offsets = np.cumsum([0, *map(len, hashes)])[:-1]
+    flat = np.concatenate(hashes)
+    out = np.zeros((len(hashes), KEYS), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(KEYS):
+            for _ in range(KEY_HASHES):
+                flip, odd = rng.integers(0, 2**64, 2, np.uint64)
+                out[:, k] = _mix(out[:, k] ^ np.minimum.reduceat((flat ^ flip) * (odd | np.uint64(1)), offsets), k + 1)
+    return out.view(np.int64)
+
+
+def _similar(sets: list[np.ndarray], members: np.ndarray, visitors: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a member and a visitor whose sets (sorted, distinct) have a Jaccard similarity of ``least`` or more."""
+    size = np.array([len(x) for x in sets])
+    names = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(size)
+    own = [names[e - n : e] for e, n in zip(ends, size, strict=True)]
+    flat = np.concatenate([own[v] for v in visitors])
+    starts = np.cumsum([0, *size[visitors]])[:-1]
+    mark = np.zeros(len(names) and int(names.max()) + 1, bool)
+    left, right = [], []
+    for m in members:
+        mark[own[m]] = True
+        common = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+        mark[own[m]] = False
+        # The tolerance only keeps a quotient of exactly ``least`` from being lost to rounding.
+        near = visitors[(common >= least * (size[m] + size[visitors] - common) - 1e-9) & (visitors != m)]
+        left.append(np.full(len(near), m))
+        right.append(near)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _exact(words: int, least: float, table: pa.Table) -> pa.Table:
+    """Links of one block of members and visitors by exact similarity, as the edges of a forest over its rows."""
+    member = table.column("member").to_numpy(zero_copy_only=False).astype(bool)
+    sets = [np.unique(shingle_hashes(t or "", words)) for t in table.column("text").to_pylist()]
+    full = np.array([len(x) > 0 for x in sets])
+    members, every = np.flatnonzero(member & full), np.flatnonzero(full)
+    label = np.arange(len(sets))
+    if len(members):
+        left, right = _similar(sets, members, every, least)
+        label = _forest(len(sets), np.concatenate([left, label]), np.concatenate([right, label]))
+    linked = np.flatnonzero(label != np.arange(len(sets)))
+    ids = table.column("node").to_numpy()
+    return pa.table({"src": pa.array(ids[linked]), "dst": pa.array(ids[label[linked]])})
+
+
+def key_links(points: DataFrame) -> DataFrame:
+    """Edges (src, dst) from the first node of each key to the others that have it; ``points``: node long, keys array."""
+    keys = checkpointed(points.select("node", F.explode("keys").alias("key")))
+    firsts = checkpointed(keys.groupBy("key").agg(F.min("node").alias("src"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    return keys.join(firsts.hint("merge"), "key").where("node <> src").select("src", F.col("node").alias("dst")).distinct()
+
+
+def similar_links(texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Edges (src, dst) that join, directly or through others, every two nodes of a component whose runs of words have
+    a Jaccard similarity of ``least`` or more; ``texts``: node long, component long, text.
+
+    Components larger than a block are dealt out as blocks of members against blocks of visitors.
+    """
+    sizes = texts.groupBy("component").agg(F.ceil(F.count("*") / EXACT_MEMBERS).cast("int").alias("g"))
+    dealt = texts.join(sizes, "component").withColumn("i", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    # Block (i, j) holds the members of part i and the visitors of part j; a pair needs it on one side of the diagonal only.
+    parts = F.sequence(F.lit(0), F.col("g") - 1)
+    as_member = F.transform(F.filter(parts, lambda j: j >= F.col("i")), lambda j: F.struct((F.col("i") * F.col("g") + j).alias("block"), F.lit(True).alias("member")))
+    as_visitor = F.transform(F.filter(parts, lambda j: j < F.col("i")), lambda j: F.struct((j * F.col("g") + F.col("i")).alias("block"), F.lit(False).alias("member")))
+    blocks = dealt.select("node", "text", "component", F.explode(F.concat(as_member, as_visitor)).alias("b")).select("node", "text", "component", "b.*")
+    return blocks.groupBy("component", "block").applyInArrow(lambda part: _exact(words, least, part), "src long, dst long")
+
+
 def simhash_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -254,6 +344,7 @@ def simhash_groups(
     lanes: int = 1,
     confirm_bits: int = 0,
     leaf_members: int = LEAF_MEMBERS,
+    similarity: float | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id, rk1, rk2, and keep1, keep2.
 
@@ -263,23 +354,34 @@ def simhash_groups(
     row's own included; a row whose whole component has null ids gets null. A null or empty text has the fingerprint
     zero and is linked like any other. Rows that repeat are rows of the same component. An empty table gives an empty
     result. Equal fingerprints are one point, so copies cost no comparisons; no link between different ones is lost.
+
+    With ``similarity``, a link is a pair of texts whose sets of runs of words have that Jaccard similarity or more; the
+    links of bits and the pairs that share a key (see KEYS) are candidates for it, and equal words are one point.
     """
     fps = [f"fp{k}" for k in range(lanes)]
+    point = fps if similarity is None else [*fps, "set1", "set2"]
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "rk1", "rk2")
-    table = checkpointed(fingerprint_table(docs, id_col, text_col, words, lanes))
+    table = checkpointed(fingerprint_table(docs, id_col, text_col, words, lanes, similarity is not None))
+    more = [] if similarity is None else [F.first("keys").alias("keys")]
     points = checkpointed(
-        table.groupBy(*fps).agg(F.min("doc_id").alias("least"), F.min(first).alias("first")).sortWithinPartitions(*fps).withColumn("node", F.monotonically_increasing_id())
+        table.groupBy(*point).agg(F.min("doc_id").alias("least"), F.min(first).alias("first"), *more).sortWithinPartitions(*point).withColumn("node", F.monotonically_increasing_id())
     )
-    edges = checkpointed(hamming_links(points, link_bits, confirm_bits, lanes, leaf_members))
+    edges = hamming_links(points, link_bits, confirm_bits, lanes, leaf_members)
+    if similarity is not None:
+        near = checkpointed(connected_components(checkpointed(edges.unionAll(key_links(points)))))
+        chosen = points.join(near, "node").select("node", "component", F.col("first.rk1").alias("rk1"), F.col("first.rk2").alias("rk2"))
+        texts = pick(docs, id_col, text_col).select(*row_key(F.col("doc_id"), F.col("text")), "text").join(chosen, ["rk1", "rk2"])
+        edges = similar_links(texts, words, similarity)
+    edges = checkpointed(edges)
     labels = connected_components(edges).withColumnRenamed("component", "root")
     rooted = points.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = checkpointed(rooted)
     least = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("keep")))
-    named = rooted.join(least, "root").select(*fps, "component_id", F.col("keep.rk1").alias("keep1"), F.col("keep.rk2").alias("keep2"))
+    named = rooted.join(least, "root").select(*point, "component_id", F.col("keep.rk1").alias("keep1"), F.col("keep.rk2").alias("keep2"))
     # Copies of one text share a fingerprint and may be many: both sides come straight from an exchange, so Spark can
     # split a common fingerprint's rows over several tasks.
     named = checkpointed(named)
-    return table.join(named.hint("merge"), fps).select(
+    return table.join(named.hint("merge"), point).select(
         "doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id", "rk1", "rk2", "keep1", "keep2"
     )
 

@@ -1,6 +1,7 @@
 """Line dedup by a segment-partition edit join.
 
-Lines within ``edits`` edits of each other are near copies. A line is split into edits + 1 segments, so a near copy
+Lines within ``edits`` edits of each other are near copies; without a number, a line may have one edit in each 20 of
+its characters, four at most (of two lines the shorter one counts). A line is split into edits + 1 segments, so a near copy
 keeps one segment whole, at a place that lengths and the number of edits confine. Segments are indexed under (length,
 segment number, hash); a line probes the index of its own and of the next shorter lengths with the substrings that may
 be such a segment. Pairs that meet, and whose letter parities are close enough, are verified by a banded bit-parallel
@@ -20,13 +21,20 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import pick, row_key, slices
 from shelfmark.session import checkpointed, read_table
 
-EDITS, LEAST_CHARS = 1, 20
+LEAST_CHARS = 20
+#: Edits that a line may have: one for so many of its characters, and so many at most.
+CHARS_AN_EDIT, MOST_EDITS = 20, 4
 #: Hashes of lines that a task remembers, so as to send a line's text once.
 SEEN = 500_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _ONE = np.uint64(1)
 
 
+def allowed(lengths: np.ndarray, edits: int | None) -> np.ndarray:
+    """The edits that lines of these lengths may have."""
+    return np.full(len(lengths), edits) if edits is not None else np.clip(lengths // CHARS_AN_EDIT, 1, MOST_EDITS)
+
+
 def _halves(h: int) -> tuple[int, int]:
     return (h >> 64) - (1 << 63), (h & (2**64 - 1)) - (1 << 63)
 
@@ -114,8 +122,11 @@ def _segment(length: np.ndarray, segment: int, edits: int) -> tuple[np.ndarray,
     return segment * size + np.maximum(0, segment - first_longer), size + (segment >= first_longer)
 
 
-def segment_keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line number, key, probe flag) of all index entries and probes; each line has more than ``edits`` characters."""
+def segment_keys(lines: list[str], edits: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line number, key, probe flag) of all index entries and probes; each line has more characters than edits.
+
+    A line is indexed under the edits of its own length, and probes with those of each indexed length.
+    """
     prefix = _Prefix(lines)
     every, length = np.arange(len(lines)), prefix.lengths
     owners, keys, flags = [], [], []
@@ -125,18 +136,20 @@ def segment_keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray,
         keys.append(_key(prefix(own, start, size), indexed, segment))
         flags.append(np.full(len(own), probe))
 
-    for i in range(edits + 1):
-        start, size = _segment(length, i, edits)
-        add(every, start, size, length, i, False)
-        for delta in range(edits + 1):
-            indexed = length - delta
-            start, size = _segment(indexed, i, edits)
-            # Of the i segments before, each had an edit if none of them matched; likewise behind.
-            low, high = max(-i, delta - (edits - i)), min(i, delta + (edits - i))
-            for shift in range(low, high + 1):
-                at = start + shift
-                ok = (indexed > edits) & (at >= 0) & (at + size <= length)
-                add(every[ok], at[ok], size[ok], indexed[ok], i, True)
+    for e in [edits] if edits is not None else range(1, MOST_EDITS + 1):
+        for i in range(e + 1):
+            own = every[allowed(length, edits) == e]
+            start, size = _segment(length[own], i, e)
+            add(own, start, size, length[own], i, False)
+            for delta in range(e + 1):
+                indexed = length - delta
+                start, size = _segment(indexed, i, e)
+                # Of the i segments before, each had an edit if none of them matched; likewise behind.
+                low, high = max(-i, delta - (e - i)), min(i, delta + (e - i))
+                for shift in range(low, high + 1):
+                    at = start + shift
+                    ok = (indexed > e) & (allowed(indexed, edits) == e) & (at >= 0) & (at + size <= length)
+                    add(every[ok], at[ok], size[ok], indexed[ok], i, True)
     return np.concatenate(owners), np.concatenate(keys).view(np.int64), np.concatenate(flags)
 
 
@@ -148,15 +161,15 @@ def _parities(lines: list[str]) -> np.ndarray:
     return np.bitwise_xor.reduceat(bits, np.cumsum(lengths) - lengths).astype(np.int32)
 
 
-def _occurrences(keyed: DataFrame, least: int) -> DataFrame:
-    """A row per line of at least ``least`` characters: its hash and its place."""
+def _occurrences(keyed: DataFrame, least: int, short: bool) -> DataFrame:
+    """A row per line of at least ``least`` characters, and with ``short`` per shorter one that is not blank: its hash and its place."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             own, numbers, left, right = [], [], [], []
             for k, text in enumerate(batch.column(3).to_pylist()):
                 for number, line in enumerate((text or "").split("\n")):
-                    if len(line) >= least:
+                    if len(line) >= least or (short and line.strip()):
                         a, b = _halves(xxhash.xxh3_128_intdigest(line))
                         own.append(k)
                         numbers.append(number)
@@ -170,8 +183,8 @@ def _occurrences(keyed: DataFrame, least: int) -> DataFrame:
     return keyed.mapInArrow(emit, "doc_id long, rk1 long, rk2 long, line_no int, h1 long, h2 long").where("h1 is not null and h2 is not null")
 
 
-def line_links(texts: DataFrame, text_col: str = "text", edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """Pairs of different lines within ``edits`` edits, each once: a1, a2, b1, b2 (the two halves of each line's hash)."""
+def line_links(texts: DataFrame, text_col: str = "text", edits: int | None = None, least: int = LEAST_CHARS) -> DataFrame:
+    """Pairs of different lines within ``edits`` edits (None: by their lengths), each once: a1, a2, b1, b2 (the two halves of each line's hash)."""
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -195,23 +208,29 @@ def line_links(texts: DataFrame, text_col: str = "text", edits: int = EDITS, lea
             if not lines:
                 continue
             own, key, probe = segment_keys(lines, edits)
-            columns = [pa.array(key), batch.column(0).take(pa.array(own)), pa.array(_parities(lines)[own]), pa.array(probe)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "id", "parity", "probe"])
+            bits = 2 * allowed(np.array([len(x) for x in lines]), edits).astype(np.int8)
+            columns = [pa.array(key), batch.column(0).take(pa.array(own)), pa.array(_parities(lines)[own]), pa.array(probe), pa.array(bits[own])]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "id", "parity", "probe", "bits"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(iter([whole]), "a_line", 1_000_000):
                 pairs = list(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True))
-                yield batch.select([0, 1, 2, 3]).filter(pa.array(banded_within(pairs, edits)))
+                most = allowed(np.array([min(map(len, p)) for p in pairs]), edits)
+                near = np.zeros(len(pairs), bool)
+                for e in np.unique(most):
+                    own = np.flatnonzero(most == e)
+                    near[own] = banded_within([pairs[k] for k in own], int(e))
+                yield batch.select([0, 1, 2, 3]).filter(pa.array(near))
 
     # Each task sends a line once; lines are then dealt by their hash, and the joins below need no other exchange of text.
     # The filter says what the joins would infer, each for itself; so all of them share one exchange.
     sent = texts.select(text_col).mapInArrow(once, "h1 long, h2 long, line string").where("h1 is not null")
     distinct = sent.repartition("h1").dropDuplicates(["h1", "h2", "line"])
-    entries = distinct.select("h1", "line").mapInArrow(keys, "key long, id long, parity int, probe boolean")
-    index = entries.where("not probe").select("key", F.col("id").alias("a"), F.col("parity").alias("pa"))
+    entries = distinct.select("h1", "line").mapInArrow(keys, "key long, id long, parity int, probe boolean, bits byte")
+    index = entries.where("not probe").select("key", F.col("id").alias("a"), F.col("parity").alias("pa"), "bits")
     probes = entries.where("probe").select("key", F.col("id").alias("b"), F.col("parity").alias("pb"))
-    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 2 * edits)
+    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= F.col("bits"))
     met = index.join(probes, (index.key == probes.key) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = distinct.select(F.col("h1").alias("a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a_line"))
     right = distinct.select(F.col("h1").alias("b"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b_line"))
@@ -219,16 +238,17 @@ def line_links(texts: DataFrame, text_col: str = "text", edits: int = EDITS, lea
     return told.mapInArrow(verify, "a1 long, a2 long, b1 long, b2 long")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int | None = None, least: int = LEAST_CHARS, short: bool = False) -> DataFrame:
     """One row per document that loses lines: doc_id, rk1, rk2, removed (line numbers from 0, ascending), n_links.
 
     A line of at least ``least`` characters goes where the same line, or one within ``edits`` edits of it, occurs
     earlier: in a row of a smaller doc_id (null ids first), or further up in the same row. n_links counts the removed
-    lines that go for a different text. Rows that repeat both id and text are one document. Lines end at newlines.
+    lines that go for a different text. With ``short``, shorter lines that are not blank go where the same line occurs
+    earlier. Rows that repeat both id and text are one document. Lines end at newlines.
     Null and empty texts have no lines to remove; an empty table gives an empty result.
     """
     keyed = pick(docs, id_col, text_col).select("doc_id", *row_key(F.col("doc_id"), F.col("text")), "text")
-    places = _occurrences(keyed, least)
+    places = _occurrences(keyed, least, short)
     place = F.struct("doc_id", "rk1", "rk2", "line_no")
     links = checkpointed(line_links(keyed, "text", edits, least))
     firsts = places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
@@ -243,9 +263,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return lines.groupBy("doc_id", "rk1", "rk2").agg(F.sort_array(F.collect_list("line_no")).alias("removed"), F.count_if("linked").alias("n_links"))
 
 
-def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int | None = None, least: int = LEAST_CHARS, short: bool = False) -> DataFrame:
     """``docs`` without the repeated lines; rows and other columns stay as they are."""
-    gone = repeated_lines(docs, id_col, text_col, edits, least).select(F.col("rk1").alias("__rk1"), F.col("rk2").alias("__rk2"), F.col("removed").alias("__removed"))
+    gone = repeated_lines(docs, id_col, text_col, edits, least, short).select(F.col("rk1").alias("__rk1"), F.col("rk2").alias("__rk2"), F.col("removed").alias("__removed"))
     a, b = row_key(F.col(id_col).cast("long"), F.col(text_col))
     joined = docs.withColumns({"__rk1": a, "__rk2": b}).join(gone, ["__rk1", "__rk2"], "left").drop("__rk1", "__rk2")
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("__removed"), i))
@@ -256,7 +276,7 @@ def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, n_links, removed."""
     docs = read_table(spark, sf_dir, "documents")
     keyed = pick(docs, "doc_id", "text").select("doc_id", *row_key(F.col("doc_id"), F.col("text")), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines"))
-    gone = repeated_lines(docs).drop("doc_id")
+    gone = repeated_lines(docs, short=True).drop("doc_id")
     joined = keyed.join(gone, ["rk1", "rk2"], "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return joined.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), F.coalesce("n_links", F.lit(0)).alias("n_links"), removed.alias("removed"))

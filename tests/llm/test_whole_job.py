@@ -4,7 +4,9 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+from shelfmark.llm import lines as L
 from shelfmark.llm import simhash as S
+from test_lines_and_passages import distance, edited
 
 
 def family(r, words, changes):
@@ -32,3 +34,16 @@ def test_near_copies_equal_brute_force(spark, monkeypatch):
         monkeypatch.setattr(S, "EXACT_MEMBERS", members)
         got = {x.doc_id: x.component_id for x in S.simhash_groups(docs, **corpus_pipeline.NEAR).collect()}
         assert [got[k] for k in range(len(texts))] == root
+
+
+def test_edits_grow_with_the_line_and_short_repeats_go(spark):
+    r = random.Random(7)
+    pool = ["".join(r.choice("abcdefghij ") for _ in range(n)) for n in (20, 39, 40, 61, 79, 80, 81, 150, 300) for _ in range(2)]
+    lines = [edited(r, s, n) for s in pool for n in (0, 1, 2, 3, 4, 5)] + ["Menu", " ", "", "Menu", " ", ""]
+    want = []
+    for n, line in enumerate(lines):
+        near = lambda o, line=line: o == line or min(len(o), len(line)) >= 20 and distance(o, line) <= min(4, max(1, min(len(o), len(line)) // 20))
+        if line.strip() and any(near(o) for o in lines[:n] if abs(len(o) - len(line)) <= 4):
+            want.append(n)
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    assert L.repeated_lines(docs, short=True).first().removed == want

@@ -2,7 +2,8 @@
 
 A text is cut into sentences (a stretch of over 24 words without an end mark is cut at words that their content
 chooses, so two copies are cut alike). From each sentence on, the shortest run of at least three sentences and 15
-words is hashed to 128 bits; the hashes are joined globally, and the characters of every run that has an earlier
+words is hashed to 128 bits. Runs of words between cuts that depend on the eight words to either side only are hashed
+as well, so that any 50 words that two texts share hold a whole run, wherever they stand. The hashes are joined globally, and the characters of every run that has an earlier
 occurrence are covered. Covered runs that touch become one span.
 """
 
@@ -23,6 +24,9 @@ from shelfmark.llm.common import pick, row_key, slices
 from shelfmark.session import checkpointed, read_table
 
 SENTENCES, WORDS, LONG = 3, 15, 24
+#: Of so many successive words, one at least ends in a cut. Cuts of shared words agree from the ninth of them to the ninth from
+#: their end; the first is in the 17th place at most, and a run of 15 words ends 8 words later at most: 4 * 9 + 15 - 3 < 50.
+WINDOW = 9
 _END = re.compile(r"[.!?…]+\s+|\n+")
 _WORD = re.compile(r"\S+")
 
@@ -49,8 +53,29 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def word_runs(text: str, words: int = WORDS) -> list[tuple[bytes, int, int]]:
+    """(hash, start, end) of the shortest run of at least ``words`` words from each cut on.
+
+    A cut follows each word that ends a sentence, and the last least word (by hash, ends of sentences first) of each WINDOW.
+    """
+    places = [m.span() for m in _WORD.finditer(text)]
+    if len(places) < words:
+        return []
+    said = [text[a:b].lower() for a, b in places]
+    ends = np.array([w[-1] in ".!?…" for w in said])
+    ends[:-1] |= np.array(["\n" in text[a[1] : b[0]] for a, b in zip(places, places[1:], strict=False)], bool)
+    rank = np.array([zlib.crc32(w.encode()) for w in said], np.int64) + (~ends).astype(np.int64) * (1 << 32)
+    cut = ends.copy()
+    if len(rank) >= WINDOW:
+        back = np.lib.stride_tricks.sliding_window_view(rank, WINDOW)[:, ::-1].argmin(axis=1)
+        cut[np.arange(len(back)) + WINDOW - 1 - back] = True
+    bounds = np.unique(np.concatenate([[0], np.flatnonzero(cut) + 1, [len(said)]]))
+    till = np.searchsorted(bounds, bounds + words)
+    return [(xxhash.xxh3_128_digest(" ".join(said[a : bounds[k]]).encode()), places[a][0], places[bounds[k] - 1][1]) for a, k in zip(bounds.tolist(), till.tolist(), strict=True) if k < len(bounds)]
+
+
 def runs(text: str, least: int = SENTENCES, words: int = WORDS) -> list[tuple[bytes, int, int]]:
-    """(hash, start, end) of the shortest long enough run from each sentence on."""
+    """(hash, start, end) of the shortest long enough run from each sentence on, and of each run of words."""
     units = sentences(text)
     digests = [xxhash.xxh3_128_digest(u.encode()) for _, _, u in units]
     counts = [u.count(" ") + 1 for _, _, u in units]
@@ -64,7 +89,7 @@ def runs(text: str, least: int = SENTENCES, words: int = WORDS) -> list[tuple[by
             break
         out.append((xxhash.xxh3_128_digest(b"".join(digests[i:j])), units[i][0], units[j - 1][1]))
         held -= counts[i]
-    return out
+    return out + word_runs(text, words)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:

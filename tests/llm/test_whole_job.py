@@ -6,6 +6,7 @@ from itertools import combinations
 import corpus_pipeline
 from shelfmark.llm import lines as L
 from shelfmark.llm import simhash as S
+from shelfmark.llm.passages import repeated_spans, runs
 from test_lines_and_passages import distance, edited
 
 
@@ -47,3 +48,16 @@ def test_edits_grow_with_the_line_and_short_repeats_go(spark):
             want.append(n)
     docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
     assert L.repeated_lines(docs, short=True).first().removed == want
+
+
+def test_any_fifty_shared_words_hold_a_run(spark):
+    r = random.Random(3)
+    say = lambda n, marks: " ".join(f"{r.choice('abcdefgh')}{r.randrange(3000)}" + ("." if r.random() < marks else "") for _ in range(n))
+    for k in range(400):
+        marks = (0, 0.05, 0.2)[k % 3]
+        shared = say(50, marks)
+        a, b = (f"{say(40, marks)} {shared} {say(40, marks)}" for _ in range(2))
+        assert {h for h, *_ in runs(a)} & {h for h, *_ in runs(b)}, shared
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    spans = repeated_spans(docs).collect()
+    assert spans and all(x.doc_id == 2 and b[x.start : x.end] in shared for x in spans)

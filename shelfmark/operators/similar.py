@@ -45,16 +45,17 @@ def _blocks(bits: Column, distance: int) -> Column:
 
 
 def full_buckets(entries: DataFrame, t: SimilarThresholds = SimilarThresholds()) -> DataFrame:
-    """Buckets over max_bucket, which the join leaves out and a report has to name: block_no, block, n."""
+    """Buckets over max_bucket, whose pairs make the join slow; it leaves none out: block_no, block, n."""
     return entries.select(_blocks(F.col("bits"), t.distance).alias("b")).select("b.*").groupBy("block_no", "block").agg(F.count("*").alias("n")).where(F.col("n") > t.max_bucket)
 
 
 def hamming_pairs(entries: DataFrame, t: SimilarThresholds = SimilarThresholds()) -> DataFrame:
-    """a, b, distance of pairs within the distance and aspect guard; a < b by content_hash. Null bits are left out."""
+    """a, b, distance of pairs within the distance and aspect guard; a < b by content_hash. Null bits are left out.
+
+    Buckets are not capped: every pair of each bucket is compared, so the time grows with the square of the largest ones.
+    """
     cols = [F.col("content_hash"), F.col("bits"), F.col("aspect") if "aspect" in entries.columns else F.lit(0.0).alias("aspect")]
     blocks = entries.where("bits is not null").select(*cols, _blocks(F.col("bits"), t.distance).alias("__b")).select("*", "__b.*").drop("__b")
-    over = full_buckets(entries.where("bits is not null"), t).select("block_no", "block")
-    blocks = blocks.join(over, ["block_no", "block"], "left_anti")
     a = blocks.select("block_no", "block", F.col("content_hash").alias("a"), F.col("bits").alias("ab"), F.col("aspect").alias("aa"))
     b = blocks.select("block_no", "block", F.col("content_hash").alias("b"), F.col("bits").alias("bb"), F.col("aspect").alias("ba"))
     near = (hamming(F.col("ab"), F.col("bb")) <= t.distance) & (aspect_log_ratio(F.col("aa"), F.col("ba")) <= t.aspect)

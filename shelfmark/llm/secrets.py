@@ -1,7 +1,8 @@
 """Secret scan: three base patterns, and an assignment-aware lexer for source and configuration syntax.
 
 The lexer cuts a text into lines and reads ``name = literal``, ``name: literal``, ``"name": "literal"`` and
-``name(literal)``-free forms as name-literal pairs, with quoted or bare literals. A name bound to a literal is a
+``name(literal)``-free forms as name-literal pairs, with quoted or bare literals. In ``name: type = literal`` and
+``a = b = literal`` the literal is the last one, and all names of the chain share it. A name bound to a literal is a
 constant: where another name is bound to it (``password = DEFAULT``), the literal's score also counts that target.
 A literal is a secret when the words of a target name are sensitive and the literal looks like no plain word.
 """
@@ -36,8 +37,11 @@ NAME_WEIGHTS = {
 REPORT = 3.0
 LEAST_LITERAL = 6
 
+# A type or a chained target needs blanks around its "=" (or a quote after it): name: abc=def is a literal with "=".
+_TYPE = r"""(?:[ \t]*:[ \t]*[A-Za-z_&*][A-Za-z0-9_.&'<>\[\]|?,* \t]{0,80}?(?=[ \t]+=[ \t]|[ \t]*=[ \t]*["']))?"""
+_NAME = r"""[A-Za-z_][A-Za-z0-9_.\-]{0,127}"""
 _PAIR = re.compile(
-    r"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,127})["']?[ \t]*(?:=>|:=|==?|:)[ \t]*"""
+    rf"""(?P<chain>(?:{_NAME}[ \t]+=[ \t]+(?={_NAME}[ \t]+=[ \t]|{_NAME}[ \t]*=[ \t]*["'])){{0,8}})(?P<name>{_NAME})["']?{_TYPE}[ \t]*(?:=>|:=|==?|:)[ \t]*"""
     r"""(?:"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|(?P<bare>[^\s"'#;,(){}\[\]<>|]+))"""
 )
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -65,7 +69,8 @@ def lexed_pairs(text: str) -> list[tuple[str, str, int, int, bool]]:
     found = []
     for m in _PAIR.finditer(text):
         part = "dq" if m["dq"] is not None else "sq" if m["sq"] is not None else "bare"
-        found.append((m["name"], m[part], *m.span(part), part != "bare"))
+        names = [*re.findall(_NAME, m["chain"]), m["name"]]
+        found += [(name, m[part], *m.span(part), part != "bare") for name in names]
     return found
 
 
@@ -74,13 +79,13 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
     if "=" not in text and ":" not in text:
         return []
     pairs = lexed_pairs(text)
-    literal_of: dict[str, list[tuple[str, int, int]]] = {}
+    literal_of: dict[str, list[tuple[str, int, int, bool]]] = {}
     reach: dict[str, set[str]] = {}
     for name, value, start, end, quoted in pairs:
         if not quoted and _IDENTIFIER.match(value):
             reach.setdefault(value, set()).add(name)
         else:
-            literal_of.setdefault(name, []).append((value, start, end))
+            literal_of.setdefault(name, []).append((value, start, end, quoted))
     spans = []
     for name, literals in literal_of.items():
         seen, open_names = {name}, [name]
@@ -89,8 +94,10 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
             seen |= more
             open_names += more
         sensitive = max(map(name_score, seen))
-        if sensitive > 0:
-            spans += [(a, b) for value, a, b in literals if sensitive >= 1.5 and sensitive + literal_score(value) >= REPORT]
+        # A name of one point (a key) needs a literal of two: mixed classes, length and entropy.
+        if sensitive >= 1.0:
+            phrase = any("passphrase" in n.lower() for n in seen)
+            spans += [(a, b) for value, a, b, quoted in literals if sensitive + literal_score(value) >= REPORT or phrase and quoted and value.count(" ") >= 2]
     # A bare word bound to a sensitive name is its own literal unless it is a constant of this text.
     for name, value, start, end, quoted in pairs:
         if not quoted and _IDENTIFIER.match(value) and value not in literal_of and literal_score(value) >= 1.0 and name_score(name) + literal_score(value) >= REPORT + 1:

@@ -7,6 +7,7 @@ import corpus_pipeline
 from shelfmark.llm import lines as L
 from shelfmark.llm import simhash as S
 from shelfmark.llm.passages import repeated_spans, runs
+from shelfmark.llm.secrets import lexed_spans
 from test_lines_and_passages import distance, edited
 
 
@@ -61,3 +62,16 @@ def test_any_fifty_shared_words_hold_a_run(spark):
     docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
     spans = repeated_spans(docs).collect()
     assert spans and all(x.doc_id == 2 and b[x.start : x.end] in shared for x in spans)
+
+
+def test_typed_and_chained_assignments_and_keys():
+    secret = "hT7-kQ9z_Lm42"
+    for line in (
+        f'db_password: str = "{secret}"', f'const clientSecret: string = "{secret}";', f'a = password = "{secret}"', f'password = a = "{secret}"',
+        f'val apiToken: String? = "{secret}"', f'let secret: &str = "{secret}";', f'password: Optional[str]="{secret}"',
+    ):
+        assert [line[a:b] for a, b in lexed_spans(line)] == [secret], line
+    key = "hT7kQ9zLm42abXYZ"
+    assert lexed_spans(f'encryption_key = "{key}"') == [(18, 34)] and lexed_spans('sort_key = "created"') == []
+    assert lexed_spans('passphrase = "correct horse battery staple"') == [(14, 42)]
+    assert [("password: abc1X=dEf9")[a:b] for a, b in lexed_spans("password: abc1X=dEf9")] == ["abc1X=dEf9"]

@@ -29,8 +29,11 @@ UNITS = (
 
 
 def _clean(text: Column) -> Column:
-    """Words and numbers, apart by white space; marks become spaces, so a sentence's end leaves two."""
-    return F.regexp_replace(F.regexp_replace(text, "§", " "), r"(?<![\p{Nd}])[.,]|[.,](?![\p{Nd}])|[^\p{L}\p{Nd}\s.,]", " ")
+    """Words and numbers, apart by white space; marks become spaces, so a sentence's end leaves two.
+
+    White space of the text is one space first, so a name after a line break is one as well.
+    """
+    return F.regexp_replace(F.regexp_replace(text, r"[§\s]+", " "), r"(?<![\p{Nd}])[.,]|[.,](?![\p{Nd}])|[^\p{L}\p{Nd}\s.,]", " ")
 
 
 def _tokens(cleaned: Column) -> Column:

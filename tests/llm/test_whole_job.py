@@ -6,6 +6,7 @@ from itertools import combinations
 import corpus_pipeline
 from shelfmark.llm import lines as L
 from shelfmark.llm import simhash as S
+from shelfmark.llm.decontam import contaminated
 from shelfmark.llm.passages import repeated_spans, runs
 from shelfmark.llm.secrets import lexed_spans
 from test_lines_and_passages import distance, edited
@@ -75,3 +76,11 @@ def test_typed_and_chained_assignments_and_keys():
     assert lexed_spans(f'encryption_key = "{key}"') == [(18, 34)] and lexed_spans('sort_key = "created"') == []
     assert lexed_spans('passphrase = "correct horse battery staple"') == [(14, 42)]
     assert [("password: abc1X=dEf9")[a:b] for a, b in lexed_spans("password: abc1X=dEf9")] == ["abc1X=dEf9"]
+
+
+def test_names_after_line_breaks_are_names(spark):
+    item = "when Tom buys 5 apples at 3 dollars each and then Tom sells 5 apples to the old man"
+    wrapped = item.replace("Tom", "Anna").replace("when Anna", "when\n  Anna").replace("then Anna", "then\r\nAnna")
+    docs = spark.createDataFrame([(1, wrapped), (2, item.replace(" ", "  "))], "doc_id long, text string")
+    items = spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert sorted((r.doc_id, r.containment) for r in contaminated(docs, items).collect()) == [(1, 1.0), (2, 1.0)]

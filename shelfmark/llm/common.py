@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def row_key(id_col: Column, text_col: Column) -> list[Column]:
@@ -21,9 +25,19 @@ def row_key(id_col: Column, text_col: Column) -> list[Column]:
     ]
 
 
-def texts(batch: pa.RecordBatch, name: str) -> list[str]:
-    """A column's strings; null counts as empty."""
-    return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
+def lean(run):
+    """A function of Arrow batches that hands its memory back when a task's rows are done: Python workers outlive their tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
 
 
 def slices(batches: Iterator[pa.RecordBatch], name: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -45,11 +59,11 @@ def pick(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_chars: int, where: Column | None = None):
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_chars: int, most_total: int, where: Column | None = None):
     """A bounded sample of labelled texts for fitting: [(text, label 0 or 1)], and the rows of each label there are.
 
-    ``per_class`` rows of each label at most, taken in hash order of the id, of at most ``most_chars`` characters each.
-    Null ids, labels and texts are left out; where an id has several labels, the largest counts.
+    ``per_class`` rows of each label at most, taken in hash order of the id, of at most ``most_chars`` characters each
+    and ``most_total`` in all. Null ids, labels and texts are left out; where an id has several labels, the largest counts.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -59,7 +73,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     found: list[tuple[str, int]] = []
     for y in (0, 1):
         ids = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        rows = pick(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.length("text") <= most_chars)
-        top = rows.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(per_class).select("text", "y")
-        found += [(t, y) for t in top.toArrow().column("text").to_pylist()]
+        rows = pick(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").withColumn("n", F.length("text")).where(F.col("n") <= most_chars)
+        top = rows.withColumns({"a": F.xxhash64("doc_id"), "b": F.xxhash64("text")}).orderBy("a", "b").limit(per_class)
+        # The window sees no more than those rows.
+        held = top.withColumn("held", F.sum("n").over(Window.orderBy("a", "b").rowsBetween(Window.unboundedPreceding, 0)))
+        found += [(t, y) for t in held.where(F.col("held") <= most_total).select("text").toArrow().column("text").to_pylist()]
     return found, counts

@@ -1,19 +1,17 @@
 """SentencePiece encoding of merge-type vocabularies by a score-ordered agenda, and decoding.
 
-A text becomes segments that no merge can cross (a run of space marks and what follows it up to the next mark). In
-a segment the agenda holds every adjacent pair of symbols whose concatenation is a piece; the best score, then the
-leftmost place, comes first, is merged, and its neighbours enter the agenda anew. Short segments that a worker has
-not met yet are worked off side by side in numpy, one agenda entry of each segment at a time; long ones use a heap.
-Every newly encoded segment can be checked against the library within the same Arrow batch.
+A text is cut wherever no piece has the two characters side by side, so no merge can cross a cut. In a segment the
+agenda holds every adjacent pair of symbols whose concatenation is a piece; the best score, then the leftmost place,
+comes first, is merged, and its neighbours enter the agenda anew. The distinct short segments of a slice that a worker
+does not remember are worked off side by side in numpy, one agenda entry of each segment at a time; long ones use a
+heap. Every whole text can be checked against the library within its Arrow batch.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import heapq
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,18 +20,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import pick, slices
+from shelfmark.llm.common import lean, pick, slices
 from shelfmark.session import read_table
 
 SPACE = "▁"
 SHORT = 48
-#: Segments in the younger half of a worker's memory; as many older ones are kept besides.
-CACHE_SEGMENTS = 160_000
+#: Segments that a worker remembers, in compact arrays (some 60 bytes each); beyond that it begins anew.
+MEMORY_SEGMENTS = 400_000
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 2_000_000
 _NONE = 2**24
-_MANY = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _ENCODERS: dict = {}
 
 
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+
+def _spread(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches flat[start : start + length], one after the other."""
+    return flat[np.repeat(starts - _starts(lengths)[:-1], lengths) + np.arange(int(lengths.sum()))]
+
+
+class _Memory:
+    """Segments that were encoded before: sorted hashes, with the code points and the ids of each in flat arrays."""
+
+    def __init__(self):
+        self.hashes = np.empty(0, np.uint64)
+        self.codes, self.ids = np.empty(0, np.uint32), np.empty(0, np.int32)
+        self.code_at, self.code_n = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.id_at, self.id_n = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each segment, or -1."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def add(self, hashes: np.ndarray, codes: np.ndarray, code_n: np.ndarray, ids: np.ndarray, id_n: np.ndarray) -> None:
+        if len(self.hashes) + len(hashes) > MEMORY_SEGMENTS:
+            self.__init__()
+        code_at, id_at = _starts(code_n)[:-1] + len(self.codes), _starts(id_n)[:-1] + len(self.ids)
+        self.codes, self.ids = np.concatenate([self.codes, codes]), np.concatenate([self.ids, ids])
+        every = np.concatenate([self.hashes, hashes])
+        order = np.argsort(every, kind="stable")
+        self.hashes = every[order]
+        self.code_at, self.code_n = np.concatenate([self.code_at, code_at])[order], np.concatenate([self.code_n, code_n])[order]
+        self.id_at, self.id_n = np.concatenate([self.id_at, id_at])[order], np.concatenate([self.id_n, id_n])[order]
+
+
 class PieceEncoder:
     """Encodes as the library does: identity normalisation, a dummy space in front, byte fallback, no begin or end ids."""
 
@@ -76,10 +113,19 @@ class PieceEncoder:
         self.rank = np.array([*(table[k] for k in self.keys[:-1].tolist()), _NONE], np.int32)
         self.made = np.zeros(len(best) + 1, np.int32)
         self.made[[r for r, _ in merges.values()]] = [i for _, i in merges.values()]
-        self.names = [str(i) for i in range(n)]
         self.n = n
-        self.cache: dict[str, tuple[str, bytes]] = {}
-        self.old: dict[str, tuple[str, bytes]] = {}
+        self.memory = _Memory()
+        # Characters that stand side by side in some piece; any other two neighbours are a cut.
+        joined = {pair for p in ids for pair in zip(p, p[1:], strict=False)}
+        kinds = {c: k + 1 for k, c in enumerate(sorted({c for pair in joined for c in pair}))}
+        self.kind = np.zeros(0x110000, np.uint16)
+        self.kind[[ord(c) for c in kinds]] = list(kinds.values())
+        self.joins = np.zeros((len(kinds) + 1, len(kinds) + 1), bool)
+        for left, right in joined:
+            self.joins[kinds[left], kinds[right]] = True
+        digits = [f"{i},".encode() for i in range(n)]
+        self.digit_n = np.array([len(d) for d in digits], np.int64)
+        self.digits = np.frombuffer(b"".join(d.ljust(int(self.digit_n.max()), b"\0") for d in digits), np.uint8).reshape(n, -1)
 
     def _look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         want = left * self.width + right
@@ -176,49 +222,102 @@ class PieceEncoder:
         ids = [s for s in sym if s >= 0]
         return ids if max(ids) < self.n else self._spelled(segment, ids)
 
-    def _learn(self, new: list[str]) -> dict[str, tuple[str, bytes]]:
-        found: dict[str, list[int]] = {}
+    def _learn(self, new: list[str]) -> list[list[int]]:
+        """The ids of segments, none of them empty."""
+        found: list[list[int]] = [[]] * len(new)
         rest = []
-        for s in new:
+        for k, s in enumerate(new):
             if len(s) > SHORT or self.all_odd.search(s):
-                found[s] = self._heap(s)
+                found[k] = self._heap(s)
             else:
-                rest.append(s)
-        rest.sort(key=len)
+                rest.append(k)
+        rest.sort(key=lambda k: len(new[k]))
+        lengths = np.array([len(new[k]) for k in rest], np.int64)
         start = 0
         while start < len(rest):
-            end = min(start + 20_000, bisect.bisect_right(rest, len(rest[start]) + 2, key=len))
-            found.update(zip(rest[start:end], self._together(rest[start:end]), strict=True))
+            end = min(start + 20_000, int(np.searchsorted(lengths, lengths[start] + 2, "right")))
+            for k, ids in zip(rest[start:end], self._together([new[k] for k in rest[start:end]]), strict=True):
+                found[k] = ids
             start = end
-        if self.verify:
-            # The library puts the dummy space itself, so segments with one leading mark can be given alone.
-            alone = [s for s in new if s[0] == SPACE and s[1:2] != SPACE and len(s) > 1]
-            for s, ids in zip(alone, self.sp.encode([s[1:] for s in alone], num_threads=1), strict=True):
-                if ids != found[s]:
-                    raise ValueError(f"the library encodes {s!r} as {ids}, the agenda as {found[s]}")
-        names = self.names
-        return {s: (",".join([names[i] for i in ids]), array("i", ids).tobytes()) for s, ids in found.items()}
-
-    def encode_batch(self, texts: list[str]) -> Iterator[tuple[str, list[int]]]:
+        return found
+
+    def _segments(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All code points with the dummy space in front of each text, starts and hashes of segments, and each text's first segment."""
+        codes = np.frombuffer("".join([SPACE + t for t in texts]).encode("utf-32-le"), np.uint32).copy()
+        codes[codes == 32] = ord(SPACE)
+        begins = _starts(np.array([len(t) + 1 for t in texts], np.int64))[:-1]
+        kind = self.kind[codes]
+        cut = np.ones(len(codes), bool)
+        cut[1:] = ~self.joins[kind[:-1], kind[1:]]
+        cut[begins] = True
+        starts = np.flatnonzero(cut)
+        with np.errstate(over="ignore"):
+            mixed = (codes.astype(np.uint64) + np.uint64(1)) * _ODD
+            mixed ^= mixed >> np.uint64(29)
+            place = (np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))).astype(np.uint64)
+            mixed *= place * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x94D049BB133111EB)
+            hashes = np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), starts)
+        return codes, starts, hashes, np.searchsorted(starts, begins)
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has. An empty text has none."""
+        full = [t for t in texts if t]
+        if not full:
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+        codes, starts, hashes, firsts = self._segments(full)
+        lengths = np.diff(np.append(starts, len(codes)))
+        distinct, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        known = self.memory.find(distinct)
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            own = one[new]
+            flat = _spread(codes, starts[own], lengths[own])
+            text, ends = flat.tobytes().decode("utf-32-le"), _starts(lengths[own]).tolist()
+            found = self._learn([text[a:b] for a, b in zip(ends, ends[1:], strict=False)])
+            id_n = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter((i for f in found for i in f), np.int32, int(id_n.sum()))
+            size = len(self.memory.hashes)
+            self.memory.add(distinct[new], flat, lengths[own], ids, id_n)
+            if len(self.memory.hashes) < size + len(new):  # it began anew: what this slice needs of the old is learnt again
+                return self.encode_flat(texts) if len(distinct) <= MEMORY_SEGMENTS else self._halved(texts)
+            known = self.memory.find(distinct)
+        m, seg = self.memory, known[which]
+        # Equal hashes have to be equal segments.
+        if (m.code_n[seg] != lengths).any() or (_spread(m.codes, m.code_at[seg], lengths) != codes).any():
+            raise ValueError("two segments share a hash")
+        per_segment = m.id_n[seg]
+        counts = np.zeros(len(texts), np.int64)
+        counts[[k for k, t in enumerate(texts) if t]] = np.add.reduceat(per_segment, firsts)
+        return _spread(m.ids, m.id_at[seg], per_segment), counts
+
+    def _halved(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A slice with more segments than the memory holds: in halves, or a single text segment by segment."""
+        if len(texts) > 1:
+            parts = [self.encode_flat(texts[: len(texts) // 2]), self.encode_flat(texts[len(texts) // 2 :])]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        codes, starts, _, _ = self._segments(texts)
+        text, ends = codes.tobytes().decode("utf-32-le"), [*starts.tolist(), len(codes)]
+        found = self._learn([text[a:b] for a, b in zip(ends, ends[1:], strict=False)])
+        ids = np.array([i for f in found for i in f], np.int32)
+        return ids, np.array([len(ids)])
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        """Decimal ids, joined by commas."""
+        shown = self.digits[ids]
+        return shown[np.arange(shown.shape[1]) < self.digit_n[ids][:, None]].tobytes()[:-1]
+
+    def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
         """Of each text: its ids joined by commas, and the ids."""
-        split = [_MANY.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        known, old = self.cache, self.old
-        missing = {p for parts in split for p in parts if p not in known}
-        if len(known) > CACHE_SEGMENTS:
-            self.old, self.cache = known, {}
-            known, old = self.cache, self.old
-            missing = {p for parts in split for p in parts}
-        if old:
-            again = missing & old.keys()
-            known.update((p, old[p]) for p in again)
-            missing -= again
-        known.update(self._learn(list(missing)))
-        for parts in split:
-            found = [known[p] for p in parts]
-            yield ",".join([x[0] for x in found]), np.frombuffer(b"".join([x[1] for x in found]), np.int32).tolist()
-
-    def decode(self, ids: list[int]) -> str:
-        return self.sp.decode(ids)
+        flat, counts = self.encode_flat(texts)
+        ends = np.cumsum(counts)
+        for text, a, b in zip(texts, (ends - counts).tolist(), ends.tolist(), strict=True):
+            ids = flat[a:b]
+            if self.verify and not np.array_equal(np.array(self.sp.encode(text), np.int32), ids):
+                raise ValueError(f"the library encodes a text of {len(text)} characters otherwise: {text[:80]!r}")
+            yield self.joined(ids), ids
+
+    def decode(self, ids: np.ndarray) -> str:
+        return self.sp.decode(ids.tolist())
 
 
 def encoder(model_file: str, verify: bool) -> PieceEncoder:
@@ -242,26 +341,26 @@ def piece_codes(
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``keep_ids`` the ids.
 
     ``model`` is a path that every executor can read; the default is the installed public vocabulary. A null text
-    counts as empty and has no ids. Repeated rows are encoded each; an empty table gives an empty result. ``verify``
-    compares each segment that a worker meets for the first time with the library and fails on a difference.
+    counts as empty and has no ids. Repeated rows are encoded each; an empty table gives an empty result; a very long
+    text is a slice of its own. ``verify`` compares every whole text with the library and fails on a difference.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(model or model_path(), verify)
-        for batch in slices(batches, "text", 2_000_000):
+        for batch in slices(batches, "text", SLICE_BYTES):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            counts, named, back, all_ids = [], [], [], []
+            named, back, all_ids = [], [], []
             for joined, ids in coder.encode_batch(texts):
-                text = coder.decode(ids)
-                counts.append(len(ids))
-                named.append(hashlib.sha256(joined.encode()).hexdigest())
-                back.append(hashlib.sha256(text.encode()).hexdigest())
-                if keep_ids:
-                    all_ids.append(ids)
-            out = [batch.column(0), pa.array(counts, pa.int64()), pa.array(named, pa.string()), pa.array(back, pa.string())]
+                named.append(hashlib.sha256(joined).hexdigest())
+                back.append(hashlib.sha256(coder.decode(ids).encode()).hexdigest())
+                all_ids.append(ids)
+            counts = np.array([len(ids) for ids in all_ids], np.int64)
+            out = [batch.column(0), pa.array(counts), pa.array(named, pa.string()), pa.array(back, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                out.append(pa.array(all_ids, pa.list_(pa.int32())))
+                flat = np.concatenate([np.empty(0, np.int32), *all_ids])
+                out.append(pa.ListArray.from_arrays(pa.array(_starts(counts).astype(np.int32)), pa.array(flat)))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names)
 

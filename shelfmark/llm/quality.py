@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import labelled_sample, pick, slices
+from shelfmark.llm.common import labelled_sample, lean, pick, slices
 from shelfmark.session import read_table
 
 STEP, WIDTH, FILTERS = 4, 8, 16
-#: Rows of each label that fitting uses at most, and the longest text among them.
-SAMPLE_PER_CLASS, SAMPLE_CHARS = 2_500, 50_000
+#: Rows of each label that fitting uses at most, the longest text among them, and the characters of a label's texts in all.
+SAMPLE_PER_CLASS, SAMPLE_CHARS, SAMPLE_TOTAL = 2_500, 50_000, 12_000_000
 THRESHOLD = 0.3
 _WINDOW = 1 << 16
 
@@ -35,8 +35,11 @@ class ByteConvNet:
 
     @staticmethod
     def lay_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All texts as rows of four bytes, each text followed by zeros up to one whole row, and where each begins."""
-        rows = np.array([-(-len(t) // STEP) + 1 for t in texts], np.int64)
+        """All texts as rows of four bytes, each text followed by zeros up to one whole row, and where each begins.
+
+        An empty text has a row of zeros of its own, so its one chunk is zeros whatever comes next.
+        """
+        rows = np.array([max(1, -(-len(t) // STEP)) + 1 for t in texts], np.int64)
         ends = np.cumsum(rows)
         raw = b"".join(t.ljust(int(n) * STEP, b"\0") for t, n in zip(texts, rows, strict=True))
         return np.frombuffer(raw, np.uint8).reshape(-1, STEP), ends - rows
@@ -57,7 +60,7 @@ class ByteConvNet:
             b = a + len(r)
             first, end = np.searchsorted(last, a), np.searchsorted(starts, b)
             own = np.arange(first, end)
-            cut = last[(last >= a) & (last < b) & (last > starts)]
+            cut = last[(last >= a) & (last < b)]
             r[cut - a] = -np.inf  # a chunk may not reach into the next text
             lo = np.maximum(starts[own], a) - a
             found = np.maximum.reduceat(r, lo, axis=0)
@@ -114,7 +117,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_
 
     With labels of one kind only, or none, the network answers with the share of label 1 (0.5 without any).
     """
-    sample, counts = labelled_sample(docs, labels, "quality", per_class, most_chars, where)
+    sample, counts = labelled_sample(docs, labels, "quality", per_class, most_chars, SAMPLE_TOTAL, where)
     net = ByteConvNet()
     y = np.array([v for _, v in sample], np.float32)
     if len(set(y.tolist())) < 2:
@@ -132,6 +135,7 @@ def quality_scores(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", te
     """One row per input row: doc_id, score. Null and empty texts score as one chunk of zero bytes; ids are no input."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed 0.1 MB
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2_000_000):
             score = shared.value.scores([(t or "").encode() for t in batch.column(1).to_pylist()])

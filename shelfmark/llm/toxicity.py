@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import labelled_sample, pick, slices
+from shelfmark.llm.common import labelled_sample, lean, pick, slices
 from shelfmark.session import read_table
 
 GRADES = 3
-#: Rows of each label that fitting uses at most, the longest text among them, and the words that get a weight.
-SAMPLE_PER_CLASS, SAMPLE_CHARS, VOCABULARY = 4_000, 50_000, 400
+#: Rows of each label that fitting uses at most, the longest text among them, the characters of a label's texts in all, and
+#: the words that get a weight.
+SAMPLE_PER_CLASS, SAMPLE_CHARS, SAMPLE_TOTAL, VOCABULARY = 4_000, 50_000, 20_000_000, 400
 #: A text is toxic from this probability of grade 1 or more on.
 CUT = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
@@ -113,7 +114,7 @@ def fit_ordinal(sample: list[tuple[str, int]], counts: dict[int, int], size: int
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, most_chars: int = SAMPLE_CHARS, where=None) -> OrdinalModel:
-    sample, counts = labelled_sample(docs, labels, "toxic", per_class, most_chars, where)
+    sample, counts = labelled_sample(docs, labels, "toxic", per_class, most_chars, SAMPLE_TOTAL, where)
     return fit_ordinal(sample, counts)
 
 
@@ -132,6 +133,7 @@ def severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_
         values = {"severity": [sum(p) for p in passed], "grade": [sum(x >= 0.5 for x in p) for p in passed], "toxic": [p[0] >= cut for p in passed]}
         return {k: pa.array(v, kinds[k]) for k, v in values.items()}
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col if carry else "text"):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col if carry else "text")).to_pylist()]

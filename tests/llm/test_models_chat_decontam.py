@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -27,22 +28,48 @@ def test_quality_held_out(spark):
     assert auc(got.score.to_numpy(), got.quality.to_numpy()) > 0.85
 
 
-def test_pooling_equals_the_plain_sum(monkeypatch):
+def plain_score(net, text):
+    t = text.ljust((max(1, -(-len(text) // 4)) + 1) * 4, b"\0")
+    chunks = [t[a : a + 8] for a in range(0, len(t) - 7, 4)]
+    best = np.max([sum(net.table[k][c[k]] for k in range(8)) for c in chunks], axis=0)
+    return 1 / (1 + np.exp(-float(np.maximum(best, 0) @ net.head + net.bias)))
+
+
+def test_scores_equal_the_plain_sum_in_any_order(monkeypatch):
     import shelfmark.llm.quality as Q
 
     net, r = ByteConvNet(), random.Random(2)
-    texts = [bytes(r.randrange(256) for _ in range(n)) for n in (0, 1, 3, 4, 5, 8, 9, 250)]
-    plain = []
-    for t in texts:
-        t = t.ljust((-(-len(t) // 4) + 1) * 4, b"\0")
-        chunks = [t[a : a + 8] for a in range(0, max(1, len(t) - 7), 4)] if len(t) > 4 else [t.ljust(8, b"\0")]
-        plain.append(np.max([sum(net.table[k][c[k]] for k in range(8)) for c in chunks], axis=0))
-    for window in (1 << 16, 3):
+    texts = [bytes(r.randrange(256) for _ in range(n)) for n in (0, 1, 3, 0, 4, 5, 0, 0, 8, 9, 250, 0)] + [b"zzzz", b"", b"\xff" * 8]
+    plain = {t: plain_score(net, t) for t in texts}
+    for window in (1 << 16, 3, 1):
         monkeypatch.setattr(Q, "_WINDOW", window)
-        words, starts = net.lay_out(texts)
-        got, _ = net.pooled(words, starts)
-        # an empty text is one row of zeros alone
-        assert np.allclose(got[1:], np.array(plain[1:]), atol=1e-5)
+        for _ in range(4):
+            r.shuffle(texts)
+            assert np.allclose(net.scores(texts), [plain[t] for t in texts], atol=1e-5)
+
+
+def test_quality_query_equals_a_plain_forward_pass(spark):
+    docs = read_table(spark, SF, "documents")
+    from shelfmark.llm.quality import _remainder
+
+    net = fit_quality(docs, read_table(spark, SF, "labels"), where=_remainder() != 0)
+    got = {r.doc_id: r for r in op3_quality(spark, SF).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for row in rows[::17]:
+        want, r = plain_score(net, (row.text or "").encode()), got[row.doc_id]
+        assert abs(r.score - want) < 1e-4 and r.held_out == (zlib.crc32(str(row.doc_id).encode()) % 5 == 0)
+        assert r.predicted == int(r.score >= 0.3)
+
+
+def test_the_sample_is_bounded_in_all(spark, docs):
+    from shelfmark.llm.common import labelled_sample
+
+    labels = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, y int")
+    for most in (0, 100, 300, 10**9):
+        sample, _ = labelled_sample(docs, labels, "y", 10, 10**9, most)
+        assert all(sum(len(t) for t, y in sample if y == k) <= most for k in (0, 1))
+    assert len(sample) == 8  # seven texts that are not null, one of them twice
 
 
 def test_models_on_awkward_rows(spark, docs, no_docs):

@@ -1,98 +1,122 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (a stretch of over 24 words without an end mark is cut at words that their content
-chooses, so two copies are cut alike). From each sentence on, the shortest run of at least three sentences and 15
-words is hashed to 128 bits. Runs of words between cuts that depend on the eight words to either side only are hashed
-as well, so that any 50 words that two texts share hold a whole run, wherever they stand. The hashes are joined globally, and the characters of every run that has an earlier
+A text is cut after each sentence, and within sentences at words that their content chooses: of any nine successive
+words, the last one with the least hash (ends of sentences first), so two copies are cut alike wherever they stand.
+From each cut on, the shortest run of consecutive pieces with at least 15 words is hashed; so any 50 words that two
+texts share hold a whole run. The hashes are joined globally, and the characters of every run that has an earlier
 occurrence are covered. Covered runs that touch become one span.
+
+Most runs occur once. Their hashes meet in a compact exchange first, and only runs whose hash may repeat are exchanged
+with their places.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfmark.llm.common import pick, row_key, slices
+from shelfmark.llm.common import lean, pick, row_key, slices
+from shelfmark.llm.packed import binary_rows, bit_filter, dealt, shares
+from shelfmark.llm.rolling import Rolling, code_points, mixed
 from shelfmark.session import checkpointed, read_table
 
-SENTENCES, WORDS, LONG = 3, 15, 24
+WORDS = 15
 #: Of so many successive words, one at least ends in a cut. Cuts of shared words agree from the ninth of them to the ninth from
 #: their end; the first is in the 17th place at most, and a run of 15 words ends 8 words later at most: 4 * 9 + 15 - 3 < 50.
 WINDOW = 9
-_END = re.compile(r"[.!?…]+\s+|\n+")
-_WORD = re.compile(r"\S+")
-
-
-def sentences(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, its words joined by single spaces, lower-cased) of every sentence that has words."""
-    out = []
-    start = 0
-    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
-        words = text[start:end].split()
-        if len(words) > LONG:
-            held: list[str] = []
-            first = start
-            for m in _WORD.finditer(text, start, end):
-                held.append(m[0])
-                if len(held) > 3 and zlib.crc32(m[0].lower().encode()) % 8 == 0:
-                    out.append((first, m.end(), " ".join(held).lower()))
-                    held, first = [], m.end()
-            if held:
-                out.append((first, end, " ".join(held).lower()))
-        elif words:
-            out.append((start, end, " ".join(words).lower()))
-        start = end
-    return out
-
-
-def word_runs(text: str, words: int = WORDS) -> list[tuple[bytes, int, int]]:
-    """(hash, start, end) of the shortest run of at least ``words`` words from each cut on.
-
-    A cut follows each word that ends a sentence, and the last least word (by hash, ends of sentences first) of each WINDOW.
+#: Hashes that a task holds before it sends them.
+HELD = 1_000_000
+_END = np.array([ord(c) for c in ".!?…"], np.uint32)
+_TABLES: list[np.ndarray] = []
+
+
+def _tables() -> list[np.ndarray]:
+    """Of each code point: is it white space, and its lower-case form where that is one code point (one pair per worker)."""
+    if not _TABLES:
+        chars = [chr(c) for c in range(0x110000)]
+        _TABLES.append(np.array([c.isspace() for c in chars]))
+        _TABLES.append(np.array([ord(low) if len(low := c.lower()) == 1 else ord(c) for c in chars], np.uint32))
+    return _TABLES
+
+
+def runs(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every run of many texts: the text's number, two hashes (unsigned), start and end in code points.
+
+    A piece ends after a word that ends a sentence (its last character is one of ``.!?…``, or a line ends behind it),
+    after each chosen word, and with the text. A run is the shortest one of ``words`` words or more from its cut on.
     """
-    places = [m.span() for m in _WORD.finditer(text)]
-    if len(places) < words:
-        return []
-    said = [text[a:b].lower() for a, b in places]
-    ends = np.array([w[-1] in ".!?…" for w in said])
-    ends[:-1] |= np.array(["\n" in text[a[1] : b[0]] for a, b in zip(places, places[1:], strict=False)], bool)
-    rank = np.array([zlib.crc32(w.encode()) for w in said], np.int64) + (~ends).astype(np.int64) * (1 << 32)
-    cut = ends.copy()
+    space, lower = _tables()
+    codes = code_points([f"{t}\n" for t in texts])
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    inside = ~space[codes]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside]).astype(np.int8)))
+    first, last = edge[::2], edge[1::2]  # every text ends in a line end, so each word has both
+    own = np.searchsorted(begins, first, "right") - 1
+    none = np.empty(0, np.int64)
+    if not len(first):
+        return none, none.astype(np.uint64), none.astype(np.uint64), none, none
+    size = last - first
+    said = mixed(Rolling(mixed(lower[codes].astype(np.uint64)))(first, size) + size.astype(np.uint64))
+    broken = np.cumsum(codes == 10)
+    ends = np.isin(codes[last - 1], _END)
+    ends[:-1] |= broken[first[1:] - 1] > broken[last[:-1] - 1]
+    ends[-1] = True
+    rank = (said >> np.uint64(1)) | (~ends).astype(np.uint64) << np.uint64(63)
+    cut = ends | np.append(own[1:] != own[:-1], True)
     if len(rank) >= WINDOW:
-        back = np.lib.stride_tricks.sliding_window_view(rank, WINDOW)[:, ::-1].argmin(axis=1)
-        cut[np.arange(len(back)) + WINDOW - 1 - back] = True
-    bounds = np.unique(np.concatenate([[0], np.flatnonzero(cut) + 1, [len(said)]]))
-    till = np.searchsorted(bounds, bounds + words)
-    return [(xxhash.xxh3_128_digest(" ".join(said[a : bounds[k]]).encode()), places[a][0], places[bounds[k] - 1][1]) for a, k in zip(bounds.tolist(), till.tolist(), strict=True) if k < len(bounds)]
-
-
-def runs(text: str, least: int = SENTENCES, words: int = WORDS) -> list[tuple[bytes, int, int]]:
-    """(hash, start, end) of the shortest long enough run from each sentence on, and of each run of words."""
-    units = sentences(text)
-    digests = [xxhash.xxh3_128_digest(u.encode()) for _, _, u in units]
-    counts = [u.count(" ") + 1 for _, _, u in units]
-    out = []
-    j = held = 0
-    for i in range(len(units)):
-        while j < len(units) and (j - i < least or held < words):
-            held += counts[j]
-            j += 1
-        if j - i < least or held < words:
-            break
-        out.append((xxhash.xxh3_128_digest(b"".join(digests[i:j])), units[i][0], units[j - 1][1]))
-        held -= counts[i]
-    return out + word_runs(text, words)
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
+        whole = np.flatnonzero(own[WINDOW - 1 :] == own[: len(own) - WINDOW + 1])
+        least = np.lib.stride_tricks.sliding_window_view(rank, WINDOW)[:, ::-1].argmin(axis=1)[whole]
+        cut[whole + WINDOW - 1 - least] = True
+    bounds = np.concatenate([[0], np.flatnonzero(cut) + 1])
+    start = bounds[:-1]
+    till = np.searchsorted(bounds, start + words)
+    text_end = np.searchsorted(own, own[start], "right")
+    ok = till < len(bounds)
+    ok[ok] &= bounds[till[ok]] <= text_end[ok]
+    a, b = start[ok], bounds[till[ok]]
+    h1 = mixed(Rolling(said)(a, b - a))
+    h2 = mixed(Rolling(mixed(said, 1))(a, b - a), 2)
+    at = begins[own[a]]
+    return own[a], h1, h2, first[a] - at, last[b - 1] - at
+
+
+def repeated_hashes(keyed: DataFrame, words: int) -> DataFrame:
+    """The first hashes that occur more than once: h, signed."""
+    n = shares(keyed.sparkSession)
+
+    def send(held: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.sort(np.concatenate(held))
+        # Two of a kind say as much as many.
+        every = every[np.concatenate([[True, True], every[2:] != every[:-2]])[: len(every)]]
+        found, ends = dealt(every, n)
+        return pa.RecordBatch.from_arrays([pa.array(found), binary_rows(every.view(np.uint8).reshape(-1, 8), ends)], ["share", "hashes"])
+
+    @lean
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in slices(batches, "text", 2_000_000):
+            held.append(runs([t or "" for t in batch.column(0).to_pylist()], words)[1])
+            if sum(map(len, held)) > HELD:
+                yield send(held)
+                held = []
+        if sum(map(len, held)):
+            yield send(held)
+
+    def meet(share: pa.Table) -> pa.Table:
+        every = np.sort(np.frombuffer(b"".join(share.column("hashes").to_pylist()), np.uint64))
+        again = np.unique(every[1:][every[1:] == every[:-1]])
+        return pa.table({"h": pa.array(again.view(np.int64))})
+
+    packed = keyed.select("text").mapInArrow(pack, "share int, hashes binary")
+    return packed.groupBy("share").applyInArrow(meet, "h long")
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row per span to remove: doc_id, start, end (code points, end exclusive), first_doc_id, rk1, rk2.
 
     The first occurrence of a run is the one of the smallest doc_id (null ids first), then the earliest in its text;
@@ -100,20 +124,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     document. Null, empty and short texts have no runs; an empty table gives no spans.
     """
     keyed = pick(docs, id_col, text_col).select("doc_id", *row_key(F.col("doc_id"), F.col("text")), "text")
+    again = bit_filter(repeated_hashes(keyed, words), "h")
 
+    @lean
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4_000_000):
-            own, digests, starts, ends = [], [], [], []
-            for k, text in enumerate(batch.column(3).to_pylist()):
-                for digest, a, b in runs(text or "", least, words):
-                    own.append(k)
-                    digests.append(digest)
-                    starts.append(a)
-                    ends.append(b)
-            h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            at = pa.array(own, pa.int32())
-            kept = [batch.column(k).take(at) for k in range(3)]
-            more = [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
+        for batch in slices(batches, "text", 2_000_000):
+            own, h1, h2, start, end = runs([t or "" for t in batch.column(3).to_pylist()], words)
+            at = np.flatnonzero(again.value.passes(h1))
+            rows = pa.array(own[at])
+            kept = [batch.column(k).take(rows) for k in range(3)]
+            more = [pa.array(h[at].view(np.int64)) for h in (h1, h2)] + [pa.array(x[at].astype(np.int32)) for x in (start, end)]
             yield pa.RecordBatch.from_arrays(kept + more, ["doc_id", "rk1", "rk2", "h1", "h2", "start", "end"])
 
     found = keyed.mapInArrow(emit, "doc_id long, rk1 long, rk2 long, h1 long, h2 long, start int, end int")

@@ -1,10 +1,13 @@
 import random
+import re
 from collections import defaultdict
 
 import pytest
 
 from shelfmark.llm import lines as L
-from shelfmark.llm.passages import repeated_spans, runs, sentences, without_spans
+from shelfmark.llm import packed
+from shelfmark.llm.passages import repeated_spans, runs, without_spans
+from shelfmark.llm.rolling import BASE
 
 
 def distance(a, b):
@@ -77,29 +80,70 @@ def test_lines_of_awkward_rows(docs, no_docs):
     assert L.without_repeated_lines(no_docs).count() == 0
 
 
-def test_sentences_cover_and_cut_alike():
-    long = " ".join(f"word{k % 37}x" for k in range(200))
-    a, b = sentences("Start here. " + long), sentences("other words that come first then " + long)
-    assert len({u for *_, u in a} & {u for *_, u in b}) >= 5
-    assert sentences("") == [] and sentences(" \n ") == []
-
-
-def test_repeated_spans_equal_brute_force(spark):
+def mix(z, salt=0):
+    z = (z + 0x9E3779B97F4A7C15 * (salt + 1)) % 2**64
+    z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+    return z ^ z >> 31
+
+
+def plain_runs(text, words=15, window=9):
+    """(the words of a run, start, end), by the definition."""
+    places = [m.span() for m in re.finditer(r"\S+", text)]
+    if not places:
+        return []
+    said = [text[a:b].lower() for a, b in places]
+    gaps = [text[a[1] : b[0]] for a, b in zip(places, places[1:], strict=False)] + ["\n"]
+    ends = [w[-1] in ".!?…" or "\n" in gap for w, gap in zip(said, gaps, strict=True)]
+    rank = [(not end, mix((sum(mix(ord(c)) * BASE**k for k, c in enumerate(w)) + len(w)) % 2**64) >> 1) for w, end in zip(said, ends, strict=True)]
+    cut = {k for k, end in enumerate(ends) if end}
+    cut |= {min(range(a, a + window), key=lambda k: (rank[k], -k)) for a in range(len(said) - window + 1)}
+    bounds = sorted({0} | {k + 1 for k in cut})
+    out = []
+    for a in bounds:
+        if b := next((b for b in bounds if b >= a + words), None):
+            out.append((tuple(said[a:b]), places[a][0], places[b - 1][1]))
+    return out
+
+
+def prose(r):
+    word = lambda: "".join(r.choice("abcXYZéß梦") for _ in range(r.randrange(1, 5)))
+    return "".join(word() + r.choice([" "] * 12 + [". ", "\n", "  ", "! ", ".\n\n", "… ", "\t"]) for _ in range(r.randrange(0, 120)))
+
+
+def test_runs_equal_the_definition():
+    r = random.Random(4)
+    texts = [prose(r) for _ in range(300)] + ["", " ", "\n", "one", " one.\n", "w " * 400, "." * 50, "a. " * 30]
+    r.shuffle(texts)
+    own, h1, h2, start, end = runs(texts)
+    got, by_hash = defaultdict(list), {}
+    for k, x, y, a, b in zip(own.tolist(), h1.tolist(), h2.tolist(), start.tolist(), end.tolist(), strict=True):
+        got[k].append((a, b))
+        assert by_hash.setdefault((x, y), texts[k][a:b].lower().split()) == texts[k][a:b].lower().split()
+    assert len({x for x, _ in by_hash}) == len({tuple(v) for v in by_hash.values()}) == len(by_hash)
+    for k, t in enumerate(texts):
+        assert got[k] == [(a, b) for _, a, b in plain_runs(t)], t
+
+
+def test_repeated_spans_equal_brute_force(spark, monkeypatch):
     r = random.Random(9)
     said = [" ".join(r.choice("abcdefghij") * 3 for _ in range(r.randrange(3, 12))).capitalize() + "." for _ in range(40)]
     rows = [(i, " ".join(said[(s + k) % 40] for s in [r.randrange(40)] for k in range(r.randrange(0, 12)))) for i in range(50)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     seen, want = set(), defaultdict(set)
     for i, t in rows:
-        for h, a, b in runs(t):
+        for h, a, b in plain_runs(t):
             if h in seen:
                 want[i] |= set(range(a, b))
             seen.add(h)
-    spans = repeated_spans(frame)
-    got = defaultdict(set)
-    for x in spans.collect():
-        got[x.doc_id] |= set(range(x.start, x.end))
-    assert got == want
+    # A filter that is full lets everything pass and loses nothing.
+    for bits in (packed.FILTER_BITS, 2**15):
+        monkeypatch.setattr(packed, "FILTER_BITS", bits)
+        spans = repeated_spans(frame)
+        got = defaultdict(set)
+        for x in spans.collect():
+            got[x.doc_id] |= set(range(x.start, x.end))
+        assert got == want
     cut = {x.doc_id: x.text for x in without_spans(frame, spans).collect()}
     assert all(cut[i] == "".join(c for k, c in enumerate(t) if k not in want[i]) for i, t in rows)
 

@@ -39,8 +39,18 @@ def test_a_wrong_merge_is_noticed():
     coder = PieceEncoder(model_path())
     coder.rank[:-1] = coder.rank[:-1][::-1].copy()
     coder.merges = {}
-    with pytest.raises(ValueError, match="library"):
-        list(coder.encode_batch(["international understanding"]))
+    for text in ("international understanding", "fine  international", "x\ninternational"):
+        with pytest.raises(ValueError, match="library"):
+            list(coder.encode_batch(["", "a ", text]))
+    # A wrong segment inside a text is noticed wherever it stands, a lone mark at the end too.
+    for text in ("ab cd", "ab ", "ab\ncd", "  ab"):
+        coder = PieceEncoder(model_path())
+        learn = coder._learn
+        for k in range(len(coder._segments([text])[1])):
+            coder.memory.__init__()
+            coder._learn = lambda new, k=k: [[5] if j == k else ids for j, ids in enumerate(learn(new))]
+            with pytest.raises(ValueError, match="library"):
+                list(coder.encode_batch([text]))
 
 
 def test_codes_of_awkward_rows(docs, no_docs):

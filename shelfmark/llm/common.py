@@ -40,10 +40,11 @@ def lean(run):
     return wrapped
 
 
-def slices(batches: Iterator[pa.RecordBatch], name: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about ``limit`` bytes of a text column, or a single row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about ``limit`` bytes of a text column (by name or place), or a single row."""
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(batch.schema.get_field_index(name))).to_pylist()
+        place = batch.schema.get_field_index(column) if isinstance(column, str) else column
+        lengths = pa.compute.binary_length(batch.column(place)).to_pylist()
         start = held = 0
         for i, n in enumerate(lengths):
             if i > start and held + (n or 0) > limit:

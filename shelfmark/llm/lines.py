@@ -1,11 +1,12 @@
 """Line dedup by a segment-partition edit join.
 
 Lines within ``edits`` edits of each other are near copies; without a number, a line may have one edit in each 20 of
-its characters, four at most (of two lines the shorter one counts). A line is split into edits + 1 segments, so a near copy
-keeps one segment whole, at a place that lengths and the number of edits confine. Segments are indexed under (length,
-segment number, hash); a line probes the index of its own and of the next shorter lengths with the substrings that may
-be such a segment. Pairs that meet, and whose letter parities are close enough, are verified by a banded bit-parallel
-edit distance (the band is a word of bits for each pair, and numpy works off many pairs at once).
+its characters, three at most (of two lines the shorter one counts). A line is split into edits + 1 segments, so a near
+copy keeps one segment whole, at a place that lengths and the number of edits confine. Segments are indexed under
+(length, segment number, hash); a line probes the index of its own and of the next shorter lengths with the substrings
+that may be such a segment. Entries meet in a compact exchange, 16 bytes each: a part of the key, a part of the line's
+hash, letter parities. Pairs that meet, and whose parities are close enough, fetch their texts and are verified by a
+banded bit-parallel edit distance (the band is a word of bits for each pair, and numpy works off many pairs at once).
 """
 
 from __future__ import annotations
@@ -17,16 +18,27 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shelfmark.llm.common import pick, row_key, slices
+from shelfmark.llm.common import lean, pick, row_key, slices
+from shelfmark.llm.packed import binary_rows, bit_filter, dealt, shares
+from shelfmark.llm.rolling import Rolling, code_points
 from shelfmark.session import checkpointed, read_table
 
 LEAST_CHARS = 20
 #: Edits that a line may have: one for so many of its characters, and so many at most.
-CHARS_AN_EDIT, MOST_EDITS = 20, 4
-#: Hashes of lines that a task remembers, so as to send a line's text once.
-SEEN = 500_000
-_BASE = 0x9E3779B97F4A7C15 | 1
+CHARS_AN_EDIT, MOST_EDITS = 20, 3
+#: Hashes of lines that a task remembers, so as to send a line's entries once.
+SEEN = 250_000
+#: Bytes of an entry: of the key, of the line's hash, the parities, and flags.
+KEY, ID, PARITY = slice(0, 5), slice(5, 11), slice(11, 15)
+ENTRY = 16
+#: Entries of a share that are compared at once; larger shares are compared chunk against chunk, in tasks of their own.
+CHUNK = 2_000_000
+#: Pairs that are looked at together, and code points of lines that are compared side by side.
+PAIRS, CELLS = 1_000_000, 4_000_000
+#: Fewer pairs than these are compared one by one.
+FEW = 16
 _ONE = np.uint64(1)
 
 
@@ -35,20 +47,73 @@ def allowed(lengths: np.ndarray, edits: int | None) -> np.ndarray:
     return np.full(len(lengths), edits) if edits is not None else np.clip(lengths // CHARS_AN_EDIT, 1, MOST_EDITS)
 
 
-def _halves(h: int) -> tuple[int, int]:
-    return (h >> 64) - (1 << 63), (h & (2**64 - 1)) - (1 << 63)
-
-
 def banded_within(pairs: list[tuple[str, str]], edits: int) -> np.ndarray:
-    """Which pairs are within ``edits`` (at most 31) insertions, deletions and substitutions."""
+    """Which pairs are within ``edits`` (at most 31) insertions, deletions and substitutions.
+
+    What two lines have in common at their ends is left aside. Pairs are worked off by length, as many at once as a bound
+    of cells allows, so one long line costs its own length; a few are worked off one by one.
+    """
     out = np.zeros(len(pairs), bool)
-    order = sorted(range(len(pairs)), key=lambda k: len(pairs[k][1]))
-    for a in range(0, len(order), 4096):
-        own = np.array(order[a : a + 4096])
-        out[own] = _banded([pairs[k] for k in own], edits)
+    pairs = [_apart(a, b) for a, b in pairs]
+    order = sorted(range(len(pairs)), key=lambda k: max(map(len, pairs[k])))
+    a = 0
+    while a < len(order):
+        b = a + 1
+        while b < len(order) and (b - a + 1) * max(map(len, pairs[order[b]])) <= CELLS:
+            b += 1
+        own = np.array(order[a:b])
+        if len(own) < FEW:
+            out[own] = [_banded_one(*pairs[k], edits) for k in own]
+        else:
+            out[own] = _banded([pairs[k] for k in own], edits)
+        a = b
     return out
 
 
+def _shared(a: str, b: str) -> int:
+    """The length of the common prefix, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return low
+
+
+def _apart(a: str, b: str) -> tuple[str, str]:
+    n = _shared(a, b)
+    a, b = a[n:], b[n:]
+    n = _shared(a[::-1], b[::-1])
+    return a[: len(a) - n], b[: len(b) - n]
+
+
+def _banded_one(a: str, b: str, edits: int) -> bool:
+    """The same band as below, for one pair, in Python's integers."""
+    s, t = (a, b) if len(a) >= len(b) else (b, a)
+    n, m = len(s), len(t)
+    if n - m > edits:
+        return False
+    full, top = 2**64 - 1, 1 << 63
+    bits = [(k, 1 << (63 - 2 * edits + k)) for k in range(2 * edits + 1)]
+    s = "\0" * edits + s + "\0" * (2 * edits + 1)
+    inside = range(edits, edits + n)
+    vp, vn, score, low = full ^ ((1 << (63 - edits)) - 1), 0, edits, 1 << 62
+    for i in range(m):
+        c, match = t[i], 0
+        for k, bit in bits:
+            if s[i + k] == c and i + k in inside:
+                match |= bit
+        d0 = (((((match & vp) + vp) & full) ^ vp) | match | vn) & full
+        hp, hn = (vn | ~(d0 | vp)) & full, d0 & vp
+        if i < n - edits:
+            score += not d0 & top
+        else:
+            score += bool(hp & low) - bool(hn & low)
+            low >>= 1
+        half = d0 >> 1
+        vp, vn = (hn | ~(half | hp)) & full, half & hp
+    return score <= edits
+
+
 def _matrix(lines: list[str], before: int, after: int) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(s) for s in lines])
     full = np.zeros((before + int(lengths.max(initial=0)) + after, len(lines)), np.uint32)
@@ -89,23 +154,16 @@ def _banded(pairs: list[tuple[str, str]], edits: int) -> np.ndarray:
 
 
 class _Prefix:
-    """Hashes of substrings of many lines at once, from prefix sums of a polynomial modulo 2**64."""
+    """Hashes of substrings of many lines at once."""
 
     def __init__(self, lines: list[str]):
-        codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        with np.errstate(over="ignore"):
-            codes = (codes + _ONE) * np.uint64(0xD6E8FEB86659FD93)
-            codes ^= codes >> np.uint64(32)
-            power = np.cumprod(np.full(len(codes), np.uint64(_BASE), np.uint64))
-            self.total = np.concatenate([[np.uint64(0)], np.cumsum(codes * power)])
-            self.back = np.cumprod(np.full(len(codes) + 1, np.uint64(pow(_BASE, -1, 2**64)), np.uint64))
-        lengths = np.array([len(x) for x in lines], np.int64)
-        self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
+        codes = (code_points(lines).astype(np.uint64) + _ONE) * np.uint64(0xD6E8FEB86659FD93)
+        self.rolling = Rolling(codes ^ (codes >> np.uint64(32)))
+        self.lengths = np.array([len(x) for x in lines], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
 
     def __call__(self, own: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        a = self.starts[own] + start
-        with np.errstate(over="ignore"):
-            return (self.total[a + size] - self.total[a]) * self.back[a]
+        return self.rolling(self.starts[own] + start, size)
 
 
 def _key(h: np.ndarray, length: np.ndarray, segment: int) -> np.ndarray:
@@ -125,7 +183,8 @@ def _segment(length: np.ndarray, segment: int, edits: int) -> tuple[np.ndarray,
 def segment_keys(lines: list[str], edits: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line number, key, probe flag) of all index entries and probes; each line has more characters than edits.
 
-    A line is indexed under the edits of its own length, and probes with those of each indexed length.
+    A line is indexed under the edits of its own length, and probes with those of each indexed length. A probe that is
+    the line's own index entry is left out: lines that share an entry meet there.
     """
     prefix = _Prefix(lines)
     every, length = np.arange(len(lines)), prefix.lengths
@@ -147,6 +206,8 @@ def segment_keys(lines: list[str], edits: int | None) -> tuple[np.ndarray, np.nd
                 # Of the i segments before, each had an edit if none of them matched; likewise behind.
                 low, high = max(-i, delta - (e - i)), min(i, delta + (e - i))
                 for shift in range(low, high + 1):
+                    if delta == shift == 0:
+                        continue
                     at = start + shift
                     ok = (indexed > e) & (allowed(indexed, edits) == e) & (at >= 0) & (at + size <= length)
                     add(every[ok], at[ok], size[ok], indexed[ok], i, True)
@@ -161,57 +222,189 @@ def _parities(lines: list[str]) -> np.ndarray:
     return np.bitwise_xor.reduceat(bits, np.cumsum(lengths) - lengths).astype(np.int32)
 
 
-def _occurrences(keyed: DataFrame, least: int, short: bool) -> DataFrame:
-    """A row per line of at least ``least`` characters, and with ``short`` per shorter one that is not blank: its hash and its place."""
+def _occurrences(keyed: DataFrame, least: int, short: bool, passes=None) -> DataFrame:
+    """A row per line of at least ``least`` characters, and with ``short`` per shorter one that is not blank: its hash and its place.
+
+    With ``passes`` (a broadcast filter) only of lines whose first hash passes it.
+    """
 
+    @lean
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            own, numbers, left, right = [], [], [], []
+        for batch in slices(batches, "text", 2_000_000):
+            own, numbers, digests = [], [], []
             for k, text in enumerate(batch.column(3).to_pylist()):
                 for number, line in enumerate((text or "").split("\n")):
-                    if len(line) >= least or (short and line.strip()):
-                        a, b = _halves(xxhash.xxh3_128_intdigest(line))
+                    if len(line) >= least or (short and line and not line.isspace()):
+                        digests.append(xxhash.xxh3_128_digest(line))
                         own.append(k)
                         numbers.append(number)
-                        left.append(a)
-                        right.append(b)
-            at = pa.array(own, pa.int32())
-            kept = [batch.column(k).take(at) for k in range(3)]
-            more = [pa.array(numbers, pa.int32()), pa.array(left, pa.int64()), pa.array(right, pa.int64())]
+            h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            at = np.flatnonzero(passes.value.passes(h[:, 0])) if passes else np.arange(len(h))
+            rows = pa.array(np.array(own, np.int32)[at])
+            kept = [batch.column(k).take(rows) for k in range(3)]
+            more = [pa.array(np.array(numbers, np.int32)[at]), pa.array(h[at, 0]), pa.array(h[at, 1])]
             yield pa.RecordBatch.from_arrays(kept + more, ["doc_id", "rk1", "rk2", "line_no", "h1", "h2"])
 
     return keyed.mapInArrow(emit, "doc_id long, rk1 long, rk2 long, line_no int, h1 long, h2 long").where("h1 is not null and h2 is not null")
 
 
+def _lines(batches: Iterator[pa.RecordBatch], column: str, least: int, passes=None) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Lines that a task has not met before (as far as it remembers), with the two halves of their hashes."""
+    seen: set[bytes] = set()
+    for batch in slices(batches, column, 2_000_000):
+        found: dict[bytes, str] = {}
+        for text in batch.column(0).to_pylist():
+            for line in (text or "").split("\n"):
+                if len(line) >= least and (h := xxhash.xxh3_128_digest(line)) not in seen:
+                    found[h] = line
+                    seen.add(h)
+        if len(seen) > SEEN:
+            seen.clear()
+        h = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+        lines = list(found.values())
+        if passes:
+            at = np.flatnonzero(passes.value.passes(short_id(h[:, 0])))
+            h, lines = h[at], [lines[k] for k in at.tolist()]
+        yield lines, h
+
+
+def short_id(h: np.ndarray) -> np.ndarray:
+    """The upper six bytes of a hash."""
+    return (h.view(np.uint64) >> np.uint64(16)).astype(np.int64)
+
+
+def _numbers(entries: np.ndarray, part: slice) -> np.ndarray:
+    whole = np.zeros((len(entries), 8), np.uint8)
+    whole[:, : part.stop - part.start] = entries[:, part]
+    return whole.view(np.uint64).ravel()
+
+
+def pack_entries(lines: list[str], h1: np.ndarray, edits: int | None, n: int) -> pa.RecordBatch:
+    """The index entries and probes of lines, sorted by key and dealt to ``n`` shares."""
+    own, key, probe = segment_keys(lines, edits)
+    key = key.view(np.uint64)
+    order = np.argsort(key)
+    own, key, probe = own[order], key[order], probe[order]
+    rows = np.zeros((len(own), ENTRY), np.uint8)
+    rows[:, KEY] = key.view(np.uint8).reshape(-1, 8)[:, :5]
+    rows[:, ID] = h1.view(np.uint8).reshape(-1, 8)[own, 2:]
+    rows[:, PARITY] = _parities(lines).view(np.uint8).reshape(-1, 4)[own]
+    rows[:, 15] = probe | (allowed(np.array([len(x) for x in lines]), edits)[own] << 1)
+    found, ends = dealt(key, n)
+    return pa.RecordBatch.from_arrays([pa.array(found), binary_rows(rows, ends)], ["share", "entries"])
+
+
+def meeting(entries: np.ndarray, boundary: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of lines (short ids, the smaller first) of an index entry and another entry under the same key, with close parities.
+
+    With a ``boundary``, only pairs of an entry before it and one from it on.
+    """
+    key, flags = _numbers(entries, KEY), entries[:, 15]
+    order = np.argsort(key << _ONE | (flags & 1), kind="stable")  # index entries of a key first
+    key, flags = key[order], flags[order]
+    side = order >= boundary if boundary is not None else None
+    every = np.arange(len(key))
+    last = np.searchsorted(key, key, "right")
+    left = every[(flags & 1 == 0) & (last > every + 1)]
+    if not len(left):
+        return
+    ids, parity = _numbers(entries, ID)[order].view(np.int64), _numbers(entries, PARITY)[order]
+    size = last[left] - left - 1
+    ends = np.cumsum(size)
+    a = 0
+    while a < len(left):
+        # Of one entry with very many partners, a part at a time.
+        base = ends[a] - size[a]
+        b = max(a + 1, int(np.searchsorted(ends, base + PAIRS, "right")))
+        for start in range(0, int(size[a]) if b == a + 1 else 1, PAIRS):
+            if b == a + 1:
+                j = np.arange(left[a] + 1 + start, min(left[a] + 1 + start + PAIRS, last[left[a]]))
+                i = np.full(len(j), left[a])
+            else:
+                i = np.repeat(left[a:b], size[a:b])
+                j = i + 1 + np.arange(len(i)) - np.repeat(ends[a:b] - size[a:b] - base, size[a:b])
+            near = (np.bitwise_count(parity[i] ^ parity[j]) <= (flags[i] >> 1) * 2) & (ids[i] != ids[j])
+            if side is not None:
+                near &= side[i] != side[j]
+            if near.any():
+                found = np.sort(np.stack([ids[i[near]], ids[j[near]]]), axis=0)
+                pairs = np.unique(found, axis=1)
+                yield pairs[0], pairs[1]
+        a = b
+
+
+def _candidates(texts: DataFrame, text_col: str, edits: int | None, least: int) -> DataFrame:
+    """Pairs (a, b) of short ids of lines that share a segment and have close parities."""
+    n, most = shares(texts.sparkSession), CHUNK
+
+    @lean
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lines, h in _lines(batches, text_col, least):
+            if lines:
+                yield pack_entries(lines, np.ascontiguousarray(h[:, 0]), edits, n)
+
+    def rows(a=(), b=(), share=None, chunk=None, entries=None) -> pa.RecordBatch:
+        size = len(a) if entries is None else 1
+        null = lambda kind: pa.nulls(size, kind)
+        if entries is None:
+            columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), null(pa.int32()), null(pa.int32()), null(pa.binary())]
+        else:
+            columns = [null(pa.int64()), null(pa.int64()), pa.array([share], pa.int32()), pa.array([chunk], pa.int32()), pa.array([entries.tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "share", "chunk", "entries"])
+
+    @lean
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shares come one after the other: one that fits is compared here, of a larger one the chunks are sent on."""
+        share, held, size, chunks = None, [], 0, 0
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size, chunks
+            if not held:
+                return
+            entries = np.concatenate(held)
+            held, size = [], 0
+            for a, b in meeting(entries):
+                yield rows(a, b)
+            if chunks or not last:
+                yield rows(share=share, chunk=chunks, entries=entries)
+                chunks += 1
+
+        for batch in batches:
+            for own, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if own != share:
+                    yield from flush(True)
+                    share, chunks = own, 0
+                part = np.frombuffer(packed.as_buffer(), np.uint8).reshape(-1, ENTRY)
+                if held and size + len(part) > most:
+                    yield from flush(False)
+                held.append(part)
+                size += len(part)
+        yield from flush(True)
+
+    @lean
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(batch.column(0), batch.column(1), strict=True):
+                both = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, ENTRY) for x in (left, right)]
+                for a, b in meeting(np.concatenate(both), len(both[0])):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    packed = texts.select(text_col).mapInArrow(pack, "share int, entries binary")
+    dealt_rows = packed.repartition("share").sortWithinPartitions("share")
+    met = checkpointed(dealt_rows.mapInArrow(meet, "a long, b long, share int, chunk int, entries binary"))
+    found = met.where("a is not null").select("a", "b")
+    large = met.where("entries is not null").select("share", "chunk", "entries")
+    if not large.isEmpty():
+        other = large.select("share", F.col("chunk").alias("other"), F.col("entries").alias("others"))
+        pairs = large.join(other.hint("merge"), "share").where("chunk < other").select("entries", "others")
+        found = found.unionAll(pairs.repartition(F.xxhash64("entries", "others")).mapInArrow(cross, "a long, b long"))
+    return found.distinct()
+
+
 def line_links(texts: DataFrame, text_col: str = "text", edits: int | None = None, least: int = LEAST_CHARS) -> DataFrame:
     """Pairs of different lines within ``edits`` edits (None: by their lengths), each once: a1, a2, b1, b2 (the two halves of each line's hash)."""
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in slices(batches, text_col):
-            found: dict[tuple[int, int], str] = {}
-            for text in batch.column(0).to_pylist():
-                for line in (text or "").split("\n"):
-                    if len(line) >= least:
-                        h = xxhash.xxh3_128_intdigest(line)
-                        if h not in seen:
-                            found[_halves(h)] = line
-                            seen.add(h)
-            if len(seen) > SEEN:
-                seen.clear()
-            h1, h2 = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(list(found.values()), pa.string())], ["h1", "h2", "line"])
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "line", 2_000_000):
-            lines = batch.column(1).to_pylist()
-            if not lines:
-                continue
-            own, key, probe = segment_keys(lines, edits)
-            bits = 2 * allowed(np.array([len(x) for x in lines]), edits).astype(np.int8)
-            columns = [pa.array(key), batch.column(0).take(pa.array(own)), pa.array(_parities(lines)[own]), pa.array(probe), pa.array(bits[own])]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "id", "parity", "probe", "bits"])
-
+    @lean
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(iter([whole]), "a_line", 1_000_000):
@@ -223,19 +416,22 @@ def line_links(texts: DataFrame, text_col: str = "text", edits: int | None = Non
                     near[own] = banded_within([pairs[k] for k in own], int(e))
                 yield batch.select([0, 1, 2, 3]).filter(pa.array(near))
 
-    # Each task sends a line once; lines are then dealt by their hash, and the joins below need no other exchange of text.
-    # The filter says what the joins would infer, each for itself; so all of them share one exchange.
-    sent = texts.select(text_col).mapInArrow(once, "h1 long, h2 long, line string").where("h1 is not null")
-    distinct = sent.repartition("h1").dropDuplicates(["h1", "h2", "line"])
-    entries = distinct.select("h1", "line").mapInArrow(keys, "key long, id long, parity int, probe boolean, bits byte")
-    index = entries.where("not probe").select("key", F.col("id").alias("a"), F.col("parity").alias("pa"), "bits")
-    probes = entries.where("probe").select("key", F.col("id").alias("b"), F.col("parity").alias("pb"))
-    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= F.col("bits"))
-    met = index.join(probes, (index.key == probes.key) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = distinct.select(F.col("h1").alias("a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a_line"))
-    right = distinct.select(F.col("h1").alias("b"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b_line"))
-    told = met.join(left, "a").join(right, "b").select("a1", "a2", "b1", "b2", "a_line", "b_line")
-    return told.mapInArrow(verify, "a1 long, a2 long, b1 long, b2 long")
+    met = checkpointed(_candidates(texts, text_col, edits, least))
+    ends = met.select(F.col("a").alias("id")).unionAll(met.select(F.col("b").alias("id")))
+    wanted = bit_filter(ends, "id")
+
+    @lean
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lines, h in _lines(batches, text_col, least, wanted):
+            columns = [pa.array(short_id(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(lines, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "h1", "h2", "line"])
+
+    told = texts.select(text_col).mapInArrow(fetch, "id long, h1 long, h2 long, line string").where("id is not null")
+    told = told.repartition("id").dropDuplicates(["id", "h1", "h2", "line"])
+    left = told.select(F.col("id").alias("a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a_line"))
+    right = told.select(F.col("id").alias("b"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b_line"))
+    pairs = met.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a1", "a2", "b1", "b2", "a_line", "b_line")
+    return pairs.mapInArrow(verify, "a1 long, a2 long, b1 long, b2 long")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int | None = None, least: int = LEAST_CHARS, short: bool = False) -> DataFrame:
@@ -258,18 +454,32 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     verdict = firsts.join(others, (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2")), "left").where("n > 1 or other < first")
     # Checkpointed, so that Spark can split the occurrences of a very common line over several tasks of the join.
     verdict = checkpointed(verdict.select("h1", "h2", "first", F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("linked")))
+    places = _occurrences(keyed, least, short, bit_filter(verdict, "h1"))
     gone = places.join(verdict.hint("merge"), ["h1", "h2"]).where(F.col("linked") | (place != F.col("first")))
     lines = gone.groupBy("doc_id", "rk1", "rk2", "line_no").agg(F.max("linked").alias("linked"))
     return lines.groupBy("doc_id", "rk1", "rk2").agg(F.sort_array(F.collect_list("line_no")).alias("removed"), F.count_if("linked").alias("n_links"))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int | None = None, least: int = LEAST_CHARS, short: bool = False) -> DataFrame:
-    """``docs`` without the repeated lines; rows and other columns stay as they are."""
-    gone = repeated_lines(docs, id_col, text_col, edits, least, short).select(F.col("rk1").alias("__rk1"), F.col("rk2").alias("__rk2"), F.col("removed").alias("__removed"))
-    a, b = row_key(F.col(id_col).cast("long"), F.col(text_col))
-    joined = docs.withColumns({"__rk1": a, "__rk2": b}).join(gone, ["__rk1", "__rk2"], "left").drop("__rk1", "__rk2")
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("__removed"), i))
-    return joined.withColumn(text_col, F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).drop("__removed")
+    """``docs`` without the repeated lines; rows and other columns stay as they are, whatever they are called."""
+    gone = repeated_lines(docs, id_col, text_col, edits, least, short).select(F.struct("rk1", "rk2").alias("own"), "removed")
+    rows = docs.select(F.struct(*row_key(F.col(id_col).cast("long"), F.col(text_col))).alias("own"), F.struct("*").alias("row"))
+    joined = rows.join(gone, "own", "left").select("row.*", F.col("removed"))
+    place = docs.columns.index(text_col)
+
+    @lean
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, place, 2_000_000):
+            texts = batch.column(place).to_pylist()
+            for k, removed in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if removed:
+                    out = set(removed)
+                    texts[k] = "\n".join([line for n, line in enumerate(texts[k].split("\n")) if n not in out])
+            columns = list(batch.columns[:-1])
+            columns[place] = pa.array(texts, batch.schema.field(place).type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return joined.mapInArrow(cut, T.StructType(docs.schema.fields))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from shelfmark.llm import lines as L
@@ -35,7 +37,8 @@ def test_banded_distance(edits):
     for _ in range(1500):
         a = "".join(r.choice("abc") for _ in range(r.randrange(0, 40)))
         pairs.append((a, edited(r, a, r.randrange(0, edits + 3))))
-    assert L.banded_within(pairs, edits).tolist() == [distance(a, b) <= edits for a, b in pairs]
+    want = [distance(a, b) <= edits for a, b in pairs]
+    assert L.banded_within(pairs, edits).tolist() == L._banded(pairs, edits).tolist() == [L._banded_one(a, b, edits) for a, b in pairs] == want
 
 
 @pytest.mark.parametrize("edits", [1, 2, 3])
@@ -49,13 +52,51 @@ def test_segments_lose_no_pair(edits):
         own, key, probe = L.segment_keys([a, b], edits)
         entries = {n: {int(k) for o, k, p in zip(own, key, probe, strict=True) if o == n and not p} for n in (0, 1)}
         probes = {n: {int(k) for o, k, p in zip(own, key, probe, strict=True) if o == n and p} for n in (0, 1)}
-        assert entries[0] & probes[1] or entries[1] & probes[0], (a, b)
+        assert entries[0] & probes[1] or entries[1] & probes[0] or entries[0] & entries[1], (a, b)
         x, y = L._parities([a, b]).tolist()
         assert (x ^ y).bit_count() <= 2 * edits
 
 
-@pytest.mark.parametrize("edits", [1, 2])
-def test_repeated_lines_equal_brute_force(spark, edits):
+def test_meeting_finds_every_pair_of_a_key(monkeypatch):
+    r, lines = random.Random(6), []
+    for _ in range(40):
+        a = "".join(r.choice("ab") for _ in range(r.randrange(20, 45)))
+        lines += [a, *(edited(r, a, r.randrange(0, 3)) for _ in range(3))]
+    lines = [x for x in dict.fromkeys(lines) if len(x) >= 20]
+    h = np.array([r.randrange(-(2**63), 2**63) for _ in lines])
+    own, key, probe = L.segment_keys(lines, None)
+    by_key, parity, ids = defaultdict(list), L._parities(lines).tolist(), L.short_id(h).tolist()
+    for o, k, p in zip(own.tolist(), key.tolist(), probe.tolist(), strict=True):
+        by_key[k].append((o, p))
+    want = set()
+    for met in by_key.values():
+        for a, p in met:
+            near = lambda b, a=a: b != a and (parity[a] ^ parity[b]).bit_count() <= 2 * int(L.allowed(np.array([len(lines[a])]), None)[0])
+            want |= {tuple(sorted((ids[a], ids[b]))) for b, _ in met if not p and near(b)}
+    entries = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, L.ENTRY) for x in L.pack_entries(lines, h, None, 3).column(1)])
+    for most in (L.PAIRS, 7, 1):
+        monkeypatch.setattr(L, "PAIRS", most)
+        if most == 1:
+            entries = entries[:3000]
+        got = {p for a, b in L.meeting(entries) for p in zip(a.tolist(), b.tolist(), strict=True)}
+        assert want <= got or most == 1  # an entry has a part of the key only, so others may meet besides
+        r2 = np.random.default_rng(1).permutation(len(entries))
+        half = {p for part in (entries[r2[:900]], entries[r2[900:]]) for a, b in L.meeting(part) for p in zip(a.tolist(), b.tolist(), strict=True)}
+        half |= {p for a, b in L.meeting(entries[r2], 900) for p in zip(a.tolist(), b.tolist(), strict=True)}
+        assert half == got
+
+
+def test_one_long_line_costs_its_own_length():
+    pairs = [("x" * 30 + str(k), "x" * 30 + str(k + 1)) for k in range(100, 900)] + [("ab" * 500_000, "ab" * 500_000 + "c"), ("c" + "ab" * 60_000, "ab" * 60_000 + "c")]
+    tracemalloc.start()
+    near = L.banded_within(pairs, 3)
+    assert near.all() and tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("edits, chunk", [(1, L.CHUNK), (2, L.CHUNK), (2, 40)])
+def test_repeated_lines_equal_brute_force(spark, monkeypatch, edits, chunk):
+    monkeypatch.setattr(L, "CHUNK", chunk)
     r = random.Random(5)
     pool = ["".join(r.choice("abcdef ") for _ in range(r.randrange(15, 60))) for _ in range(25)]
     rows = [(i, "\n".join(edited(r, r.choice(pool), r.choice([0, 0, 1, 2, 3])) for _ in range(r.randrange(0, 9)))) for i in range(60)]

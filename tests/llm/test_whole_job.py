@@ -45,8 +45,8 @@ def test_edits_grow_with_the_line_and_short_repeats_go(spark):
     lines = [edited(r, s, n) for s in pool for n in (0, 1, 2, 3, 4, 5)] + ["Menu", " ", "", "Menu", " ", ""]
     want = []
     for n, line in enumerate(lines):
-        near = lambda o, line=line: o == line or min(len(o), len(line)) >= 20 and distance(o, line) <= min(4, max(1, min(len(o), len(line)) // 20))
-        if line.strip() and any(near(o) for o in lines[:n] if abs(len(o) - len(line)) <= 4):
+        near = lambda o, line=line: o == line or min(len(o), len(line)) >= 20 and distance(o, line) <= min(3, max(1, min(len(o), len(line)) // 20))
+        if line.strip() and any(near(o) for o in lines[:n] if abs(len(o) - len(line)) <= 3):
             want.append(n)
     docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
     assert L.repeated_lines(docs, short=True).first().removed == want

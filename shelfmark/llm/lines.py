@@ -5,8 +5,9 @@ its characters, three at most (of two lines the shorter one counts). A line is s
 copy keeps one segment whole, at a place that lengths and the number of edits confine. Segments are indexed under
 (length, segment number, hash); a line probes the index of its own and of the next shorter lengths with the substrings
 that may be such a segment. Entries meet in a compact exchange, 16 bytes each: a part of the key, a part of the line's
-hash, letter parities. Pairs that meet, and whose parities are close enough, fetch their texts and are verified by a
-banded bit-parallel edit distance (the band is a word of bits for each pair, and numpy works off many pairs at once).
+hash, letter parities. Lines that meet, with parities close enough, become groups (a row for each line, not for each
+pair), fetch their texts and are verified by a banded bit-parallel edit distance (the band is a word of bits for each
+pair, and numpy works off many pairs at once). A line tries its partners from the earliest on and stops at the first.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from shelfmark.llm.common import lean, pick, row_key, slices
 from shelfmark.llm.packed import binary_rows, bit_filter, dealt, shares
-from shelfmark.llm.rolling import Rolling, code_points
+from shelfmark.llm.rolling import Rolling, code_points, mixed
 from shelfmark.session import checkpointed, read_table
 
 LEAST_CHARS = 20
@@ -35,6 +36,8 @@ KEY, ID, PARITY = slice(0, 5), slice(5, 11), slice(11, 15)
 ENTRY = 16
 #: Entries of a share that are compared at once; larger shares are compared chunk against chunk, in tasks of their own.
 CHUNK = 2_000_000
+#: Lines of a group that are verified in one task, fewer where they have more than so many characters together.
+BLOCK_LINES, BLOCK_CHARS = 4_096, 1 << 24
 #: Pairs that are looked at together, and code points of lines that are compared side by side.
 PAIRS, CELLS = 1_000_000, 4_000_000
 #: Fewer pairs than these are compared one by one.
@@ -289,15 +292,18 @@ def pack_entries(lines: list[str], h1: np.ndarray, edits: int | None, n: int) ->
     rows[:, KEY] = key.view(np.uint8).reshape(-1, 8)[:, :5]
     rows[:, ID] = h1.view(np.uint8).reshape(-1, 8)[own, 2:]
     rows[:, PARITY] = _parities(lines).view(np.uint8).reshape(-1, 4)[own]
-    rows[:, 15] = probe | (allowed(np.array([len(x) for x in lines]), edits)[own] << 1)
+    length = np.array([len(x) for x in lines])
+    rows[:, 15] = probe | (np.minimum(3, allowed(length, edits)) << 1)[own] | (np.minimum(31, np.log2(length).astype(int)) << 3)[own]
     found, ends = dealt(key, n)
     return pa.RecordBatch.from_arrays([pa.array(found), binary_rows(rows, ends)], ["share", "entries"])
 
 
-def meeting(entries: np.ndarray, boundary: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of lines (short ids, the smaller first) of an index entry and another entry under the same key, with close parities.
+def meeting(entries: np.ndarray, share: int, block: int, edits: int | None = None, boundary: int | None = None, salt: int = 0) -> np.ndarray:
+    """Groups of lines that an index entry and other entries under its key, with close parities, bring together.
 
-    With a ``boundary``, only pairs of an entry before it and one from it on.
+    One row per line of a group: group, short id, is it there as a probe. A row is written for each line, not for each
+    pair; a group of more than ``block`` lines (fewer where lines are long) becomes groups of any two of its parts. With
+    a ``boundary``, only an entry before it and one from it on meet.
     """
     key, flags = _numbers(entries, KEY), entries[:, 15]
     order = np.argsort(key << _ONE | (flags & 1), kind="stable")  # index entries of a key first
@@ -306,9 +312,12 @@ def meeting(entries: np.ndarray, boundary: int | None = None) -> Iterator[tuple[
     every = np.arange(len(key))
     last = np.searchsorted(key, key, "right")
     left = every[(flags & 1 == 0) & (last > every + 1)]
+    none = np.empty((0, 3), np.int64)
     if not len(left):
-        return
+        return none
     ids, parity = _numbers(entries, ID)[order].view(np.int64), _numbers(entries, PARITY)[order]
+    bits = np.array([0, 2, 4, 6 if edits is None or edits <= 3 else 31])  # three in an entry stands for three or more
+    hit = np.zeros(len(key), bool)
     size = last[left] - left - 1
     ends = np.cumsum(size)
     a = 0
@@ -323,19 +332,39 @@ def meeting(entries: np.ndarray, boundary: int | None = None) -> Iterator[tuple[
             else:
                 i = np.repeat(left[a:b], size[a:b])
                 j = i + 1 + np.arange(len(i)) - np.repeat(ends[a:b] - size[a:b] - base, size[a:b])
-            near = (np.bitwise_count(parity[i] ^ parity[j]) <= (flags[i] >> 1) * 2) & (ids[i] != ids[j])
+            near = (np.bitwise_count(parity[i] ^ parity[j]) <= bits[flags[i] >> 1 & 3]) & (ids[i] != ids[j])
             if side is not None:
                 near &= side[i] != side[j]
-            if near.any():
-                found = np.sort(np.stack([ids[i[near]], ids[j[near]]]), axis=0)
-                pairs = np.unique(found, axis=1)
-                yield pairs[0], pairs[1]
+            hit[i[near]] = True
+            hit[j[near]] = True
         a = b
-
-
-def _candidates(texts: DataFrame, text_col: str, edits: int | None, least: int) -> DataFrame:
-    """Pairs (a, b) of short ids of lines that share a segment and have close parities."""
-    n, most = shares(texts.sparkSession), CHUNK
+    at = np.flatnonzero(hit)
+    if not len(at):
+        return none
+    group = mixed(key[at] | np.uint64(share) << np.uint64(40), salt)
+    found = np.unique(np.stack([group.view(np.int64), ids[at], flags[at].astype(np.int64)], axis=1), axis=0)
+    first = np.flatnonzero(np.append(True, found[1:, 0] != found[:-1, 0]))
+    size = np.diff(np.append(first, len(found)))
+    most = np.maximum(2, np.minimum(block, BLOCK_CHARS >> (found[first, 2] >> 3)))
+    out = [found[~np.repeat(size > most, size)]]
+    for a, n, m in zip(first[size > most].tolist(), size[size > most].tolist(), most[size > most].tolist(), strict=True):
+        # Rows of one line stay together, so each part holds a line with both its flags.
+        own = found[a : a + n]
+        part = (mixed(own[:, 1].view(np.uint64), 3) % np.uint64(-(-2 * n // m))).astype(np.int64)
+        parts = range(int(part.max()) + 1)
+        for x in parts:
+            for y in parts[x + 1 :]:
+                pair = own[(part == x) | (part == y)].copy()
+                pair[:, 0] = mixed(pair[:, 0].view(np.uint64) + np.uint64(x * len(parts) + y), 4).view(np.int64)
+                out.append(pair)
+    rows = np.concatenate(out)
+    rows[:, 2] &= 1
+    return rows
+
+
+def _groups(texts: DataFrame, text_col: str, edits: int | None, least: int) -> DataFrame:
+    """Lines that may be near each other: group, id (short), probe."""
+    n, most, block = shares(texts.sparkSession), CHUNK, BLOCK_LINES
 
     @lean
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,18 +372,18 @@ def _candidates(texts: DataFrame, text_col: str, edits: int | None, least: int)
             if lines:
                 yield pack_entries(lines, np.ascontiguousarray(h[:, 0]), edits, n)
 
-    def rows(a=(), b=(), share=None, chunk=None, entries=None) -> pa.RecordBatch:
-        size = len(a) if entries is None else 1
-        null = lambda kind: pa.nulls(size, kind)
-        if entries is None:
-            columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), null(pa.int32()), null(pa.int32()), null(pa.binary())]
-        else:
-            columns = [null(pa.int64()), null(pa.int64()), pa.array([share], pa.int32()), pa.array([chunk], pa.int32()), pa.array([entries.tobytes()], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["a", "b", "share", "chunk", "entries"])
+    def told(found: np.ndarray) -> list[pa.Array]:
+        return [pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)] + [pa.array(found[:, 2] > 0)]
+
+    def rows(found: np.ndarray | None = None, share=None, chunk=None, entries=None) -> pa.RecordBatch:
+        size = 1 if found is None else len(found)
+        mine = told(found) if found is not None else [pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.bool_())]
+        sent = [pa.nulls(size, k) for k in (pa.int32(), pa.int32(), pa.binary())] if found is not None else [pa.array([share], pa.int32()), pa.array([chunk], pa.int32()), pa.array([entries.tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(mine + sent, ["group", "id", "probe", "share", "chunk", "entries"])
 
     @lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Shares come one after the other: one that fits is compared here, of a larger one the chunks are sent on."""
+        """Shares come one after the other: one that fits is compared here, of a larger one the chunks are sent on, too."""
         share, held, size, chunks = None, [], 0, 0
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
@@ -363,8 +392,7 @@ def _candidates(texts: DataFrame, text_col: str, edits: int | None, least: int)
                 return
             entries = np.concatenate(held)
             held, size = [], 0
-            for a, b in meeting(entries):
-                yield rows(a, b)
+            yield rows(meeting(entries, share, block, edits))
             if chunks or not last:
                 yield rows(share=share, chunk=chunks, entries=entries)
                 chunks += 1
@@ -384,41 +412,63 @@ def _candidates(texts: DataFrame, text_col: str, edits: int | None, least: int)
     @lean
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1), strict=True):
+            for share, chunk, other, left, right in zip(*batch.columns, strict=True):
                 both = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, ENTRY) for x in (left, right)]
-                for a, b in meeting(np.concatenate(both), len(both[0])):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                found = meeting(np.concatenate(both), share.as_py(), block, edits, len(both[0]), (chunk.as_py() + 1) * 2**20 + other.as_py())
+                yield pa.RecordBatch.from_arrays(told(found), ["group", "id", "probe"])
 
     packed = texts.select(text_col).mapInArrow(pack, "share int, entries binary")
     dealt_rows = packed.repartition("share").sortWithinPartitions("share")
-    met = checkpointed(dealt_rows.mapInArrow(meet, "a long, b long, share int, chunk int, entries binary"))
-    found = met.where("a is not null").select("a", "b")
+    met = checkpointed(dealt_rows.mapInArrow(meet, "group long, id long, probe boolean, share int, chunk int, entries binary"))
+    found = met.where("group is not null").select("group", "id", "probe")
     large = met.where("entries is not null").select("share", "chunk", "entries")
     if not large.isEmpty():
         other = large.select("share", F.col("chunk").alias("other"), F.col("entries").alias("others"))
-        pairs = large.join(other.hint("merge"), "share").where("chunk < other").select("entries", "others")
-        found = found.unionAll(pairs.repartition(F.xxhash64("entries", "others")).mapInArrow(cross, "a long, b long"))
-    return found.distinct()
+        pairs = large.join(other.hint("merge"), "share").where("chunk < other")
+        dealt_pairs = pairs.repartition(F.xxhash64("share", "chunk", "other")).select("share", "chunk", "other", "entries", "others")
+        found = found.unionAll(dealt_pairs.mapInArrow(cross, "group long, id long, probe boolean"))
+    return found
 
 
-def line_links(texts: DataFrame, text_col: str = "text", edits: int | None = None, least: int = LEAST_CHARS) -> DataFrame:
-    """Pairs of different lines within ``edits`` edits (None: by their lengths), each once: a1, a2, b1, b2 (the two halves of each line's hash)."""
+def earlier_near(group: np.ndarray, probe: np.ndarray, place: np.ndarray, lines: list[str], edits: int | None) -> np.ndarray:
+    """Of rows of whole groups: which of them have a different line near, in their group, whose place is smaller.
 
-    @lean
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(iter([whole]), "a_line", 1_000_000):
-                pairs = list(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True))
-                most = allowed(np.array([min(map(len, p)) for p in pairs]), edits)
-                near = np.zeros(len(pairs), bool)
-                for e in np.unique(most):
-                    own = np.flatnonzero(most == e)
-                    near[own] = banded_within([pairs[k] for k in own], int(e))
-                yield batch.select([0, 1, 2, 3]).filter(pa.array(near))
-
-    met = checkpointed(_candidates(texts, text_col, edits, least))
-    ends = met.select(F.col("a").alias("id")).unionAll(met.select(F.col("b").alias("id")))
-    wanted = bit_filter(ends, "id")
+    Each row tries its partners in the order of their places and stops at the first that is near.
+    """
+    order = np.lexsort([place, group])
+    group, probe, place = group[order], probe[order], place[order]
+    lines = [lines[k] for k in order.tolist()]
+    length, parity = np.array([len(x) for x in lines], np.int64), _parities(lines).view(np.uint32)
+    most = allowed(length, edits)
+    first = np.searchsorted(group, group)
+    found = np.zeros(len(group), bool)
+    waiting, tried = np.arange(len(group)), first.copy()
+    while len(waiting := waiting[tried[waiting] < waiting]):
+        # For each row that waits, its next partner that may be near; a round passes over those that can't be.
+        left = tried[waiting]
+        bound = np.minimum(most[left], most[waiting])
+        ok = ~(probe[left] & probe[waiting]) & (place[left] < place[waiting]) & (np.abs(length[left] - length[waiting]) <= bound)
+        ok &= np.bitwise_count(parity[left] ^ parity[waiting]) <= 2 * bound
+        a, b, bound = left[ok], waiting[ok], bound[ok]
+        near = np.zeros(len(a), bool)
+        for e in np.unique(bound):
+            own = np.flatnonzero(bound == e)
+            near[own] = banded_within([(lines[x], lines[y]) for x, y in zip(a[own].tolist(), b[own].tolist(), strict=True)], int(e))
+        found[b[near]] = True
+        tried[waiting] += 1
+        waiting = waiting[~found[waiting]]
+    out = np.zeros(len(order), bool)
+    out[order] = found
+    return out
+
+
+def linked_lines(texts: DataFrame, firsts: DataFrame, text_col: str = "text", edits: int | None = None, least: int = LEAST_CHARS) -> DataFrame:
+    """Lines that have a different line within ``edits`` edits (None: by their lengths) with an earlier first place: h1, h2.
+
+    ``firsts``: h1, h2, and first, a struct that orders the lines' first places.
+    """
+    met = checkpointed(_groups(texts, text_col, edits, least).distinct())
+    wanted = bit_filter(met, "id")
 
     @lean
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,12 +476,38 @@ def line_links(texts: DataFrame, text_col: str = "text", edits: int | None = Non
             columns = [pa.array(short_id(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(lines, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "h1", "h2", "line"])
 
-    told = texts.select(text_col).mapInArrow(fetch, "id long, h1 long, h2 long, line string").where("id is not null")
-    told = told.repartition("id").dropDuplicates(["id", "h1", "h2", "line"])
-    left = told.select(F.col("id").alias("a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a_line"))
-    right = told.select(F.col("id").alias("b"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b_line"))
-    pairs = met.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a1", "a2", "b1", "b2", "a_line", "b_line")
-    return pairs.mapInArrow(verify, "a1 long, a2 long, b1 long, b2 long")
+    @lean
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a group come one after the other; several groups are compared together, none in parts."""
+        held, size = [], 0
+
+        def flush(whole: pa.Table) -> pa.RecordBatch:
+            first = [whole.column(n).to_numpy(zero_copy_only=False) for n in ("line_no", "rk2", "rk1", "doc_id", "known")]
+            rank = np.empty(whole.num_rows, np.int64)
+            rank[np.lexsort(first)] = np.arange(whole.num_rows)
+            probe = whole.column("probe").to_numpy(zero_copy_only=False).astype(bool)
+            near = earlier_near(whole.column("group").to_numpy(), probe, rank, whole.column("line").to_pylist(), edits)
+            out = whole.select(["h1", "h2"]).filter(pa.array(near)).combine_chunks()
+            return pa.RecordBatch.from_arrays([out.column(k).combine_chunks() for k in range(2)], ["h1", "h2"])
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size > 8 * CELLS // 4:
+                whole = pa.Table.from_batches(held)
+                group = whole.column("group").to_numpy()
+                if (end := int(np.searchsorted(group, group[-1]))) > 0:  # the last group may go on
+                    yield flush(whole.slice(0, end))
+                    held = whole.slice(end).to_batches()
+                    size = sum(b.nbytes for b in held)
+        if held:
+            yield flush(pa.Table.from_batches(held))
+
+    told = texts.select(text_col).mapInArrow(fetch, "id long, h1 long, h2 long, line string").where("id is not null").dropDuplicates(["h1", "h2", "id", "line"])
+    known = told.join(firsts.select("h1", "h2", "first").hint("merge"), ["h1", "h2"])
+    known = known.select("id", "h1", "h2", "line", F.col("first.doc_id").isNotNull().alias("known"), F.coalesce("first.doc_id", F.lit(0)).alias("doc_id"), "first.rk1", "first.rk2", "first.line_no")
+    rows = met.join(known.hint("merge"), "id").drop("id").repartition("group").sortWithinPartitions("group")
+    return rows.mapInArrow(verify, "h1 long, h2 long").distinct()
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int | None = None, least: int = LEAST_CHARS, short: bool = False) -> DataFrame:
@@ -446,14 +522,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = pick(docs, id_col, text_col).select("doc_id", *row_key(F.col("doc_id"), F.col("text")), "text")
     places = _occurrences(keyed, least, short)
     place = F.struct("doc_id", "rk1", "rk2", "line_no")
-    links = checkpointed(line_links(keyed, "text", edits, least))
     firsts = places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    both = links.select(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.col("b1").alias("o1"), F.col("b2").alias("o2"))
-    both = both.unionAll(links.select(F.col("b1").alias("h1"), F.col("b2").alias("h2"), F.col("a1").alias("o1"), F.col("a2").alias("o2")))
-    others = both.join(firsts.where("n > 0"), ["h1", "h2"]).select("o1", "o2", F.col("first").alias("other")).groupBy("o1", "o2").agg(F.min("other").alias("other"))
-    verdict = firsts.join(others, (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2")), "left").where("n > 1 or other < first")
+    linked = linked_lines(keyed, firsts.where("n > 0"), "text", edits, least).withColumn("linked", F.lit(True))
+    verdict = firsts.join(linked.hint("merge"), ["h1", "h2"], "left").where("n > 1 or linked")
     # Checkpointed, so that Spark can split the occurrences of a very common line over several tasks of the join.
-    verdict = checkpointed(verdict.select("h1", "h2", "first", F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("linked")))
+    verdict = checkpointed(verdict.select("h1", "h2", "first", F.coalesce("linked", F.lit(False)).alias("linked")))
     places = _occurrences(keyed, least, short, bit_filter(verdict, "h1"))
     gone = places.join(verdict.hint("merge"), ["h1", "h2"]).where(F.col("linked") | (place != F.col("first")))
     lines = gone.groupBy("doc_id", "rk1", "rk2", "line_no").agg(F.max("linked").alias("linked"))

@@ -57,12 +57,24 @@ def test_segments_lose_no_pair(edits):
         assert (x ^ y).bit_count() <= 2 * edits
 
 
-def test_meeting_finds_every_pair_of_a_key(monkeypatch):
-    r, lines = random.Random(6), []
-    for _ in range(40):
+def some_lines(r, n):
+    lines = []
+    for _ in range(n):
         a = "".join(r.choice("ab") for _ in range(r.randrange(20, 45)))
         lines += [a, *(edited(r, a, r.randrange(0, 3)) for _ in range(3))]
-    lines = [x for x in dict.fromkeys(lines) if len(x) >= 20]
+    return [x for x in dict.fromkeys(lines) if len(x) >= 20]
+
+
+def together(rows):
+    of = defaultdict(set)
+    for g, i, p in rows.tolist():
+        of[g].add((i, p))
+    return {tuple(sorted((x, y))) for own in of.values() for x, p in own for y, q in own if x != y and not (p and q)}
+
+
+def test_meeting_brings_every_pair_of_a_key_together(monkeypatch):
+    r = random.Random(6)
+    lines = some_lines(r, 30)
     h = np.array([r.randrange(-(2**63), 2**63) for _ in lines])
     own, key, probe = L.segment_keys(lines, None)
     by_key, parity, ids = defaultdict(list), L._parities(lines).tolist(), L.short_id(h).tolist()
@@ -73,17 +85,33 @@ def test_meeting_finds_every_pair_of_a_key(monkeypatch):
         for a, p in met:
             near = lambda b, a=a: b != a and (parity[a] ^ parity[b]).bit_count() <= 2 * int(L.allowed(np.array([len(lines[a])]), None)[0])
             want |= {tuple(sorted((ids[a], ids[b]))) for b, _ in met if not p and near(b)}
-    entries = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, L.ENTRY) for x in L.pack_entries(lines, h, None, 3).column(1)])
-    for most in (L.PAIRS, 7, 1):
-        monkeypatch.setattr(L, "PAIRS", most)
-        if most == 1:
-            entries = entries[:3000]
-        got = {p for a, b in L.meeting(entries) for p in zip(a.tolist(), b.tolist(), strict=True)}
-        assert want <= got or most == 1  # an entry has a part of the key only, so others may meet besides
-        r2 = np.random.default_rng(1).permutation(len(entries))
-        half = {p for part in (entries[r2[:900]], entries[r2[900:]]) for a, b in L.meeting(part) for p in zip(a.tolist(), b.tolist(), strict=True)}
-        half |= {p for a, b in L.meeting(entries[r2], 900) for p in zip(a.tolist(), b.tolist(), strict=True)}
-        assert half == got
+    packed = L.pack_entries(lines, h, None, 3)
+    shares = [(s, np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, L.ENTRY)) for s, x in zip(packed.column(0).to_pylist(), packed.column(1), strict=True)]
+    for pairs, block in ((L.PAIRS, 4096), (7, 4096), (1, 4096), (L.PAIRS, 2), (L.PAIRS, 5)):
+        monkeypatch.setattr(L, "PAIRS", pairs)
+        got = {x for s, e in shares for x in together(L.meeting(e, s, block))}
+        assert want <= got  # an entry has a part of the key only, so others may meet besides
+        halves = set()
+        for s, e in shares:
+            for part in (e[::2], e[1::2]):
+                halves |= together(L.meeting(part, s, block))
+            halves |= together(L.meeting(np.concatenate([e[::2], e[1::2]]), s, block, None, len(e[::2])))
+        assert want <= halves
+
+
+def test_earlier_near_equals_brute_force():
+    r = random.Random(8)
+    lines = some_lines(r, 12)
+    group = np.array([r.randrange(4) for _ in lines])
+    probe = np.array([r.random() < 0.3 for _ in lines])
+    place = np.array(r.sample(range(1000), len(lines)))
+    for edits in (None, 1, 2):
+        most = L.allowed(np.array([len(x) for x in lines]), edits)
+        want = [
+            any(group[a] == group[b] and place[a] < place[b] and not (probe[a] and probe[b]) and distance(lines[a], lines[b]) <= min(most[a], most[b]) for a in range(len(lines)))
+            for b in range(len(lines))
+        ]
+        assert L.earlier_near(group, probe, place, lines, edits).tolist() == want
 
 
 def test_one_long_line_costs_its_own_length():
@@ -94,9 +122,10 @@ def test_one_long_line_costs_its_own_length():
     tracemalloc.stop()
 
 
-@pytest.mark.parametrize("edits, chunk", [(1, L.CHUNK), (2, L.CHUNK), (2, 40)])
-def test_repeated_lines_equal_brute_force(spark, monkeypatch, edits, chunk):
+@pytest.mark.parametrize("edits, chunk, block", [(1, L.CHUNK, L.BLOCK_LINES), (2, 40, L.BLOCK_LINES), (5, L.CHUNK, L.BLOCK_LINES), (2, L.CHUNK, 3)])
+def test_repeated_lines_equal_brute_force(spark, monkeypatch, edits, chunk, block):
     monkeypatch.setattr(L, "CHUNK", chunk)
+    monkeypatch.setattr(L, "BLOCK_LINES", block)
     r = random.Random(5)
     pool = ["".join(r.choice("abcdef ") for _ in range(r.randrange(15, 60))) for _ in range(25)]
     rows = [(i, "\n".join(edited(r, r.choice(pool), r.choice([0, 0, 1, 2, 3])) for _ in range(r.randrange(0, 9)))) for i in range(60)]

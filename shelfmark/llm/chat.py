@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import lean
 from shelfmark.session import read_table
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -161,6 +162,7 @@ def chat_windows(conversations: DataFrame, budget: int = 1024, history: int = 25
     own; an empty table gives no windows. A conversation is streamed: what a task holds is one window and its history.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(tokens)
         out, size = [], 0
@@ -195,6 +197,7 @@ _WINDOWS = pa.schema(
 def read_back(windowed: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows: from the formatted text alone."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         rows = ((r["conv_id"], r["formatted"], r["loss"], r["repeated"]) for b in batches for r in b.to_pylist())

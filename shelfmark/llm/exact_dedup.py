@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import pick, slices
+from shelfmark.llm.common import lean, pick, slices
 from shelfmark.session import checkpointed, read_table
 
 BLOCK_BYTES = 4096
@@ -26,6 +26,7 @@ def _blocks(size: int, places: bool):
     """Distinct blocks of each slice of a batch, with ``places`` also where they stand: many copies of one text in a
     task become one row before the shuffle, whose list a slice bounds."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             lowered = pc.ascii_lower(batch.column(1)).to_pylist()

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from shelfmark.llm.common import pick, slices
+from shelfmark.llm.common import lean, pick, slices
 from shelfmark.session import read_table
 
 KINDS = ("assign", "access", "hex", "lexed")
@@ -130,6 +130,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty string). Repeated rows are scanned each; an empty table gives an empty result; other columns are ignored.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_lexed")}

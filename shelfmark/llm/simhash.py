@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import pick, row_key, slices
+from shelfmark.llm.common import lean, pick, row_key, slices
 from shelfmark.operators.components import connected_components
 from shelfmark.session import checkpointed, read_table
 
@@ -31,8 +31,8 @@ TREE_SAMPLE = 32_768
 #: Members that a leaf is meant to have, and the most that one task compares with one block of visitors.
 LEAF_MEMBERS, BLOCK_MEMBERS = 600, 4_096
 _CHUNK = 1 << 18
-#: Candidates by similarity: so many keys of so many least hashes each; of pairs with a similarity of 0.8 they miss 3 in a million.
-KEYS, KEY_HASHES = 32, 5
+#: Candidates by similarity: so many keys of so many least hashes each; of pairs with a similarity of 0.8 they miss 3 in 100 000.
+KEYS, KEY_HASHES = 20, 4
 #: Members that one task compares exactly with as many visitors at once.
 EXACT_MEMBERS = 256
 
@@ -95,8 +95,9 @@ def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, words: int, l
     """
     keyed = pick(docs, id_col, text_col).select("doc_id", *row_key(F.col("doc_id"), F.col("text")), "text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2_000_000):
             hashes = [shingle_hashes(t or "", words) for t in batch.column(3).to_pylist()]
             found = fingerprints(hashes, lanes).view(np.int64)
             out = [*batch.columns[:3], *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(lanes))]
@@ -326,7 +327,7 @@ def similar_links(texts: DataFrame, words: int, least: float) -> DataFrame:
     Components larger than a block are dealt out as blocks of members against blocks of visitors.
     """
     sizes = texts.groupBy("component").agg(F.ceil(F.count("*") / EXACT_MEMBERS).cast("int").alias("g"))
-    dealt = texts.join(sizes, "component").withColumn("i", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    dealt = texts.join(sizes.hint("merge"), "component").withColumn("i", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
     # Block (i, j) holds the members of part i and the visitors of part j; a pair needs it on one side of the diagonal only.
     parts = F.sequence(F.lit(0), F.col("g") - 1)
     as_member = F.transform(F.filter(parts, lambda j: j >= F.col("i")), lambda j: F.struct((F.col("i") * F.col("g") + j).alias("block"), F.lit(True).alias("member")))
@@ -369,15 +370,15 @@ def simhash_groups(
     edges = hamming_links(points, link_bits, confirm_bits, lanes, leaf_members)
     if similarity is not None:
         near = checkpointed(connected_components(checkpointed(edges.unionAll(key_links(points)))))
-        chosen = points.join(near, "node").select("node", "component", F.col("first.rk1").alias("rk1"), F.col("first.rk2").alias("rk2"))
-        texts = pick(docs, id_col, text_col).select(*row_key(F.col("doc_id"), F.col("text")), "text").join(chosen, ["rk1", "rk2"])
+        chosen = points.join(near.hint("merge"), "node").select("node", "component", F.col("first.rk1").alias("rk1"), F.col("first.rk2").alias("rk2"))
+        texts = pick(docs, id_col, text_col).select(*row_key(F.col("doc_id"), F.col("text")), "text").join(chosen.hint("merge"), ["rk1", "rk2"])
         edges = similar_links(texts, words, similarity)
     edges = checkpointed(edges)
     labels = connected_components(edges).withColumnRenamed("component", "root")
-    rooted = points.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = points.join(labels.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = checkpointed(rooted)
     least = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("keep")))
-    named = rooted.join(least, "root").select(*point, "component_id", F.col("keep.rk1").alias("keep1"), F.col("keep.rk2").alias("keep2"))
+    named = rooted.join(least.hint("merge"), "root").select(*point, "component_id", F.col("keep.rk1").alias("keep1"), F.col("keep.rk2").alias("keep2"))
     # Copies of one text share a fingerprint and may be many: both sides come straight from an exchange, so Spark can
     # split a common fingerprint's rows over several tasks.
     named = checkpointed(named)

@@ -33,8 +33,8 @@ LEAF_MEMBERS, BLOCK_MEMBERS = 600, 4_096
 _CHUNK = 1 << 18
 #: Candidates by similarity: so many keys of so many least hashes each; of pairs with a similarity of 0.8 they miss 3 in 100 000.
 KEYS, KEY_HASHES = 20, 4
-#: Members that one task compares exactly with as many visitors at once.
-EXACT_MEMBERS = 256
+#: Members, and characters of their texts, that one task compares exactly with as many visitors at once.
+EXACT_MEMBERS, EXACT_CHARS = 4_096, 4_000_000
 
 
 def _mix(h: np.ndarray, k: int) -> np.ndarray:
@@ -277,25 +277,33 @@ def run_keys(hashes: list[np.ndarray]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _similar(sets: list[np.ndarray], members: np.ndarray, visitors: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a member and a visitor whose sets (sorted, distinct) have a Jaccard similarity of ``least`` or more."""
+def _similar(sets: list[np.ndarray], members: np.ndarray, visitors: np.ndarray, least: float) -> np.ndarray:
+    """The least reachable row of each row, over pairs of a member and a visitor whose sets (sorted, distinct) have a
+    Jaccard similarity of ``least`` or more. Rows that are joined already are not compared again, so a group of near
+    copies costs little more than its first member's comparisons."""
     size = np.array([len(x) for x in sets])
     names = np.unique(np.concatenate(sets), return_inverse=True)[1]
     ends = np.cumsum(size)
-    own = [names[e - n : e] for e, n in zip(ends, size, strict=True)]
-    flat = np.concatenate([own[v] for v in visitors])
-    starts = np.cumsum([0, *size[visitors]])[:-1]
     mark = np.zeros(len(names) and int(names.max()) + 1, bool)
-    left, right = [], []
-    for m in members:
-        mark[own[m]] = True
+    label = np.arange(len(sets))
+    for m in members.tolist():
+        # Sets of too different sizes can't be similar enough.
+        other = visitors[(label[visitors] != label[m]) & (size[visitors] >= least * size[m] - 1e-9) & (size[visitors] * least <= size[m] + 1e-9)]
+        if not len(other):
+            continue
+        own = names[ends[m] - size[m] : ends[m]]
+        n = size[other]
+        starts = np.cumsum(n) - n
+        flat = names[np.repeat(ends[other] - n - starts, n) + np.arange(int(n.sum()))]
+        mark[own] = True
         common = np.add.reduceat(mark[flat], starts, dtype=np.int64)
-        mark[own[m]] = False
+        mark[own] = False
         # The tolerance only keeps a quotient of exactly ``least`` from being lost to rounding.
-        near = visitors[(common >= least * (size[m] + size[visitors] - common) - 1e-9) & (visitors != m)]
-        left.append(np.full(len(near), m))
-        right.append(near)
-    return np.concatenate(left), np.concatenate(right)
+        near = other[common >= least * (size[m] + n - common) - 1e-9]
+        if len(near):
+            joined = np.isin(label, np.append(label[near], label[m]))
+            label[joined] = label[joined].min()
+    return label
 
 
 def _exact(words: int, least: float, table: pa.Table) -> pa.Table:
@@ -304,10 +312,7 @@ def _exact(words: int, least: float, table: pa.Table) -> pa.Table:
     sets = [np.unique(shingle_hashes(t or "", words)) for t in table.column("text").to_pylist()]
     full = np.array([len(x) > 0 for x in sets])
     members, every = np.flatnonzero(member & full), np.flatnonzero(full)
-    label = np.arange(len(sets))
-    if len(members):
-        left, right = _similar(sets, members, every, least)
-        label = _forest(len(sets), np.concatenate([left, label]), np.concatenate([right, label]))
+    label = _similar(sets, members, every, least) if len(members) else np.arange(len(sets))
     linked = np.flatnonzero(label != np.arange(len(sets)))
     ids = table.column("node").to_numpy()
     return pa.table({"src": pa.array(ids[linked]), "dst": pa.array(ids[label[linked]])})
@@ -326,7 +331,8 @@ def similar_links(texts: DataFrame, words: int, least: float) -> DataFrame:
 
     Components larger than a block are dealt out as blocks of members against blocks of visitors.
     """
-    sizes = texts.groupBy("component").agg(F.ceil(F.count("*") / EXACT_MEMBERS).cast("int").alias("g"))
+    parts = F.greatest(F.ceil(F.count("*") / EXACT_MEMBERS), F.ceil(F.sum(F.length("text")) / EXACT_CHARS), F.lit(1))
+    sizes = texts.groupBy("component").agg(F.least(parts, F.count("*")).cast("int").alias("g"))
     dealt = texts.join(sizes.hint("merge"), "component").withColumn("i", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
     # Block (i, j) holds the members of part i and the visitors of part j; a pair needs it on one side of the diagonal only.
     parts = F.sequence(F.lit(0), F.col("g") - 1)

@@ -1,12 +1,14 @@
 import hashlib
 import random
+import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.llm import chat
+from shelfmark.llm import chat, decontam
 from shelfmark.llm.decontam import contaminated, without_contaminated
 from shelfmark.llm.quality import ByteConvNet, fit_quality, op3_quality, quality_scores
 from shelfmark.llm.toxicity import fit_ordinal, fit_toxicity, op2_toxicity, severity
@@ -143,17 +145,95 @@ def test_templates_catch_other_numbers_and_names(spark, docs, no_docs):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     items = spark.createDataFrame([(9, item), (10, "too short"), (11, None), (9, item)], "item_id long, text string")
     got = contaminated(frame, items).collect()
-    assert [(r.doc_id, r.item_id) for r in got] == [(1, 9)]
-    assert sorted(r.doc_id for r in without_contaminated(frame, items).collect()) == [2, 3, 4]
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 9), (4, 9)]
+    assert sorted(r.doc_id for r in without_contaminated(frame, items).collect()) == [2, 3]
     assert contaminated(docs, items).count() == 0 and contaminated(no_docs, items).count() == 0
     assert contaminated(frame, items.limit(0)).count() == 0
     assert without_contaminated(docs, items).columns == docs.columns and without_contaminated(docs, items).count() == docs.count()
 
 
+def test_names_anywhere_and_items_without_windows(spark):
+    item = "Tom has 3 apples. Tom buys 5 more pears. How many fruits does Tom have now?"
+    rows = [
+        (1, f"He wrote: {item.replace('Tom', 'Anna').replace('3', '8')} The end."),
+        (2, item.replace("Tom", "Mary Jane")),
+        (3, item.upper()),
+        (4, item.lower()),
+        (5, item.replace("Tom", "Anna", 1)),  # all but verbatim
+        (6, "Compute 12 + 7 * 3"),
+        (7, "first line\nCOMPUTE 12+7*3\nlast line"),
+        (8, "please compute 12 + 7 * 3 or so"),  # neither a whole text nor a whole line
+        (9, "Solve 4x = 12"),
+        (10, "1 2 3 4 5 6 7"),
+        (11, "How many fruits are there? Tom has none. Tom buys many more."),
+        (12, ""), (13, None),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, "Compute 12 + 7 * 3"), (3, "Solve 3x = 12"), (4, "1, 2, 3, 4, 5, 6, 7"), (5, ""), (6, "?!")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in contaminated(frame, items).collect())
+    assert got == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 2), (7, 2), (10, 4)]
+
+
+def plain_pairs(docs, items):
+    """By the definition, in plain Python: containment of windows in lines whose slots are filled consistently."""
+    units = "|".join(decontam.UNITS)
+
+    def streams(text):
+        cleaned = re.sub(r"(?<!\d)[.,]|[.,](?!\d)|[^\w\s.,]|_", " ", re.sub(r"[§·\s]+", " ", text or ""))
+        joined = re.sub(r"(?<!\w)([A-Z][^\W\d_]*) (?=[A-Z])", r"\1·", cleaned)
+        typed = lambda x: re.sub(rf"(?i)(?<=§d) ({units})(?!\w)", " §u", re.sub(r"\d+(?:[.,]\d+)*", "§d", x))
+        named = re.sub(r"(?<![\w·])[A-Z](?:[^\W\d_]|·)*(?!\w)", "§n", joined)
+        return [(typed(named).lower().split(), joined.lower().split()), (typed(cleaned).lower().split(), cleaned.lower().split())]
+
+    found = set()
+    for i, text in items:
+        for k, (t, p) in enumerate(streams(text)):
+            own = {a: tuple(t[a : a + 5]) for a in range(len(t) - 4) if sum(x[0] != "§" for x in t[a : a + 5]) >= 3}
+            if not own or k == 0 and len(own) < 4:
+                continue
+            for d, other in docs:
+                u, q = streams(other)[k]
+                at = defaultdict(list)
+                for b in range(len(u) - 4):
+                    at[tuple(u[b : b + 5])].append(b)
+                lines = defaultdict(set)
+                for a, w in own.items():
+                    for b in at[w]:
+                        lines[b - a].add(a)
+                matched = set()
+                for line, places in lines.items():
+                    values = defaultdict(set)
+                    for a in places:
+                        for x in range(a, a + 5):
+                            if t[x][0] == "§":
+                                values[t[x], p[x]].add(q[x + line])
+                    if all(len(v) == 1 for v in values.values()):
+                        matched |= places
+                if len(matched) >= 0.8 * len(own):
+                    found.add((d, i))
+    return found
+
+
+def test_reworked_items_are_found_and_nothing_else(spark):
+    r = random.Random(12)
+    bench = [(x.item_id, x.text) for x in read_table(spark, SF, "benchmark").collect()]
+    prose = [x.text for x in read_table(spark, SF, "documents").limit(60).collect()]
+    docs, planted = [], set()
+    for k, (i, text) in enumerate(bench):
+        names = {w: f"{r.choice(['Anna', 'Omar', 'Mary Jane', 'Li'])}{chr(97 + r.randrange(26))}" for w in set(re.findall(r"(?<=[a-z] )[A-Z][a-z]+", text))}
+        numbers = {n: str(r.randrange(10, 99)) for n in set(re.findall(r"\d+", text))}
+        reworked = re.sub(r"[A-Z][a-z]+|\d+", lambda m: names.get(m[0], numbers.get(m[0], m[0])), text)
+        copy = (text, text.lower(), text.upper(), reworked)[k % 4]
+        docs.append((k, f"{prose[k % 60]}\n{copy}\n{prose[(k + 7) % 60]}"))
+        planted.add((k, i))
+    docs += [(1000 + k, t) for k, t in enumerate(prose)]
+    got = {(x.doc_id, x.item_id) for x in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert len(planted & got) >= 0.9 * len(planted)
+    assert got == plain_pairs(docs, bench)
+
+
 def test_verbatim_leaks_equal_brute_force(spark):
     docs, bench = read_table(spark, SF, "documents"), read_table(spark, SF, "benchmark")
-    import re
-
     plain = lambda t: " ".join(re.findall(r"\w+", t.lower()))
     items = {r.item_id: plain(r.text) for r in bench.collect()}
     want = {(r.doc_id, i) for r in docs.collect() for i, t in items.items() if f" {t} " in f" {plain(r.text)} "}

@@ -1,15 +1,17 @@
 """Chat formatting in budgeted windows of whole turns.
 
-A conversation's turns have token counts; their prefix sums choose spans of turns that fit a budget. Each window
-starts with the system turn, repeats a limited history of earlier turns, and goes on with new turns. Targets are the
-assistant's texts; where a window repeats one, it is masked, so each target is learnt once.
+A turn costs the tokens of all that is written for it: markers, role and escaped text. Prefix sums of these costs choose,
+by binary search, spans of turns that fit a budget. Each window starts with the system turn, repeats a limited history
+of earlier turns, and goes on with new turns. Targets are the assistant's texts; where a window repeats one, it is
+masked, so each target is learnt once.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -68,54 +70,55 @@ def parse(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def windows(turns: Iterator[tuple[str, str, int]], budget: int, history: int) -> Iterator[Window]:
-    """Windows of (role, text, tokens) turns, in order; a turn over the budget has a window of its own.
+def windows(turns: Iterator[tuple[str, str]], budget: int, history: int, count: Callable[[str], int]) -> Iterator[Window]:
+    """Windows of (role, text) turns, in order, of ``budget`` tokens at most.
 
-    The system turn is the first turn if its role is the system's. A window's prefix (system turn and history) counts
-    against the budget; history is the longest run of last turns that has at most ``history`` tokens and leaves room.
+    The system turn is the first turn if its role is the system's; every later window starts with it. Of the turns before
+    its first new one, a window repeats the longest run that costs ``history`` at most and leaves room for that turn. A
+    window over the budget has one new turn and no history. What is held is a window, its history and one turn more.
     """
-    system: tuple[str, str, int] | None = None
-    recent: list[tuple[str, str, int]] = []  # the last turns, history tokens at most
-    kept: list[tuple[str, str, int]] = []
-    new = number = first = total = 0
-
-    def close() -> Window:
-        out, at, loss = [], 0, []
-        repeated = len(kept) - new
-        for k, (role, text, _) in enumerate(kept):
-            shown, a, b = _render(role, text)
+    told = ((role, *_render(role, text)) for role, text in turns)
+    held: list[tuple[str, str, int, int]] = []  # turns from number ``base`` on
+    sums = [0]  # sums[k]: the cost of held[:k]
+    base = first = 0
+    system: tuple[tuple[str, str, int, int], int] | None = None
+    more = True
+    while True:
+        at = first - base
+
+        def read(limit: int) -> None:
+            nonlocal more
+            while more and (sums[-1] <= limit or len(held) <= at):  # noqa: B023
+                if turn := next(told, None):
+                    held.append(turn)
+                    sums.append(sums[-1] + count(turn[1]))
+                else:
+                    more = False
+
+        read(sums[at])
+        if len(held) <= at:
+            return
+        if first == 0 and held[0][0] == SYSTEM_ROLE:
+            system = (held[0], sums[1])
+        again = system is not None and first > 0
+        prefix = system[1] if again else 0
+        room = min(history, budget - prefix - (sums[at + 1] - sums[at]))
+        past = bisect_left(sums, sums[at] - room, max(0, 1 - base) if system else 0, at) if room > 0 else at
+        limit = budget - prefix + sums[past]
+        read(limit)
+        last = max(at + 1, bisect_right(sums, limit) - 1)
+        kept = ([system[0]] if again else []) + held[past:last]
+        out, size, loss = [], 0, []
+        repeated = len(kept) - (last - at)
+        for k, (role, shown, start, end) in enumerate(kept):
             if k >= repeated and role == TARGET_ROLE:
-                loss.append((at + a, at + b))
+                loss.append((size + start, size + end))
             out.append(shown)
-            at += len(shown)
-        return Window("".join(out), loss, first, repeated, total)
-
-    for turn in turns:
-        if new and total + turn[2] > budget:
-            yield close()
-            head = [system] if system else []
-            room = min(history, budget - turn[2] - sum(t[2] for t in head))
-            past: list[tuple[str, str, int]] = []
-            for t in reversed(recent):
-                if t[2] > room:
-                    break
-                past.append(t)
-                room -= t[2]
-            kept, new, first = head + past[::-1], 0, number
-            total = sum(t[2] for t in kept)
-        kept.append(turn)
-        new += 1
-        total += turn[2]
-        if number == 0 and turn[0] == SYSTEM_ROLE:
-            system = turn
-        else:
-            recent.append(turn)
-            held = sum(t[2] for t in recent)
-            while held > history and recent:
-                held -= recent.pop(0)[2]
-        number += 1
-    if new:
-        yield close()
+            size += len(shown)
+        yield Window("".join(out), loss, first, repeated, prefix + sums[last] - sums[past])
+        first = base + last
+        drop = bisect_left(sums, sums[last] - history, 0, last)
+        held, sums, base = held[drop:], [x - sums[drop] for x in sums[drop:]], base + drop
 
 
 def _counter(path: str | None):
@@ -160,6 +163,7 @@ def chat_windows(conversations: DataFrame, budget: int = 1024, history: int = 25
 
     Null texts and roles count as empty; null conversation ids are one conversation; repeated rows are turns of their
     own; an empty table gives no windows. A conversation is streamed: what a task holds is one window and its history.
+    tokens is the sum over a window's turns; it is over ``budget`` only in a window with one new turn and no history.
     """
 
     @lean
@@ -167,7 +171,7 @@ def chat_windows(conversations: DataFrame, budget: int = 1024, history: int = 25
         count = _counter(tokens)
         out, size = [], 0
         for conv, turns in _grouped(batches):
-            for k, w in enumerate(windows(((r, t, count(t)) for r, t in turns), budget, history)):
+            for k, w in enumerate(windows(turns, budget, history, count)):
                 loss = [{"start": a, "end": b} for a, b in w.loss]
                 out.append({"conv_id": conv, "window_no": k, "formatted": w.text, "loss": loss, "first_turn": w.first_turn, "repeated": w.repeated, "tokens": w.tokens})
                 size += len(w.text)

@@ -4,7 +4,7 @@ import random
 import pytest
 
 from shelfmark.llm.pieces import PieceEncoder, model_path, piece_codes
-from shelfmark.llm.secrets import lexed_spans, scan, secret_spans
+from shelfmark.llm.secrets import lexed_spans, op4_secret_scan, scan, secret_spans
 
 HARD = ["", " ", "  a b", "\n\n a\tb", "a  b ", "\xa0x", "▁x", "x▁▁y ▁ z", "😀a<s></s><unk>", "ﬁ", "\x00a", "<0x41>", "a" * 500, "ab" * 3000, " " * 37 + "x", "梦梦 梦"]
 
@@ -95,3 +95,60 @@ def test_secrets_of_awkward_rows(docs, no_docs):
     assert rows[1].base_sha256 == hashlib.sha256(b"").hexdigest() and rows[1].spans == ""
     assert rows[6].n_assign == 1 and rows[6].spans.startswith("assign:")
     assert secret_spans(docs).count() == docs.count() and secret_spans(no_docs).count() == 0
+
+
+FORMS = [
+    'cfg["secret_key"] = "{}"', 'os.environ["DB_PASSWORD"] = "{}"', "<password>{}</password>", '#define API_SECRET "{}"', 'password = """{}"""', "password: >\n  {}\nnext: 1",
+    'connect(host="x", password="{}")', '{{"password": "{}", "x": 1}}', "export API_TOKEN={}", "password={}", "password: {}", "client_secret => '{}'", 'db_password: str = "{}"',
+    'const clientSecret: string = "{}";', 'a = password = "{}"', 'password = a = "{}"', 'val apiToken: String? = "{}"', 'let secret: &str = "{}";', 'password: Optional[str]="{}"',
+    'x = "{}"\npassword = x', 'os.environ.setdefault("DB_PASSWORD", "{}")', 'password := "{}"', 'self.password = r"{}"', "--password={} --x", "settings.API_TOKEN = ('{}')",
+    "password = '''\n{}\n'''", "const t = `{}`; token = t;", 'a = "{}"; b = a; password = b',
+]
+HARMLESS = [
+    'sort_key = "created"', "the password is: see below", "token: the next one", 'api = "v1"', 'password = os.environ["X"]', "password = getpass()", "secret = None", 'password: "${DB_PASS}"',
+    "key: value", "access = public", 'author = "Jane Doe"', 'x = "hT7-kQ9z_Lm42xB"; x = "hello world"; password = x', "pass the salt: please", 'keyword = "aB3xK9qLmZ27"', "def token(x): return x",
+]
+
+
+def test_secrets_planted_in_every_form():
+    r = random.Random(3)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    caught = 0
+    for form in FORMS:
+        for _ in range(5):
+            secret = "".join(r.choice(letters) for _ in range(10)) + "-_7qX" + "".join(r.choice(letters) for _ in range(6))
+            text = f"some words before it\n{form.format(secret)}\nand after: it = nothing"
+            caught += [text[a:b] for a, b in lexed_spans(text)] == [secret]
+    assert caught >= 0.95 * 5 * len(FORMS)
+    assert sum(bool(lexed_spans(t)) for t in HARMLESS) == 0
+
+
+def test_joined_strings_are_one_literal():
+    for text in ('password = "hT7-kQ9z" + "_Lm42xB9q"', "password = ('hT7-kQ9z'\n  '_Lm42xB9q')", 'password = "hT7-kQ9z" \\\n "_Lm42xB9q"'):
+        (a, b), = lexed_spans(text)
+        assert text[a:].startswith("hT7") and text[:b].endswith("xB9q")
+
+
+def plain_base(text):
+    """The contract's three kinds, by hand."""
+    import re
+
+    found = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m[2]) >= 6:
+            found.append((m.start(), 0, m.end()))
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if m.end() - m.start() >= 24]
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def test_the_query_equals_the_contract(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in op4_secret_scan(spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(got) == len(rows)
+    for row in rows:
+        want, r = plain_base(row.text or ""), got[row.doc_id]
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(want.count(k) for k in ("assign", "access", "hex"))
+        assert set(want.split(",")) - {""} <= set(r.spans.split(","))

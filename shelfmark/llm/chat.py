@@ -103,7 +103,7 @@ def windows(turns: Iterator[tuple[str, str]], budget: int, history: int, count:
         again = system is not None and first > 0
         prefix = system[1] if again else 0
         room = min(history, budget - prefix - (sums[at + 1] - sums[at]))
-        past = bisect_left(sums, sums[at] - room, max(0, 1 - base) if system else 0, at) if room > 0 else at
+        past = bisect_left(sums, sums[at] - room, min(at, max(0, 1 - base)) if system else 0, at) if room > 0 else at
         limit = budget - prefix + sums[past]
         read(limit)
         last = max(at + 1, bisect_right(sums, limit) - 1)

@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 
 
 def operations(journal: DataFrame) -> DataFrame:
-    """One row per op_id: status (restored over failed over moved over pending), first and last time, original, quarantined.
+    """One row per op_id with an intent: status (restored over failed over moved over pending), first and last time, original, quarantined.
 
-    Needs op_id, event, ts; original, quarantined and size are taken from the earliest line that has them.
+    An operation that never wrote its move_pending is passed over. Only restored undoes a move and only move_failed fails
+    one: after restore_failed the file is still where it was moved, so it stays a candidate for another restore. Needs
+    op_id, event, ts; original, quarantined and size are taken from the earliest line that has them.
     """
     has = lambda *events: F.bool_or(F.col("event").isin(*events))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ts"))).alias(c)
     rows = journal.where("op_id is not null").groupBy("op_id").agg(
-        has("restored", "rolled_back").alias("__r"), has("move_failed", "restore_failed").alias("__f"), has("move_done").alias("__d"),
+        has("move_pending").alias("__p"), has("restored").alias("__r"), has("move_failed").alias("__f"), has("move_done").alias("__d"),
         F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), *[first(c) for c in ("original", "quarantined", "size") if c in journal.columns],
     )
     status = F.when(F.col("__r"), "restored").when(F.col("__f"), "failed").when(F.col("__d"), "moved").otherwise("pending")
-    return rows.withColumn("status", status).drop("__r", "__f", "__d")
+    return rows.where("__p").withColumn("status", status).drop("__p", "__r", "__f", "__d")
 
 
 def summary(journal: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,11 +62,8 @@ def _like(c: Column, pattern: str) -> Column:
 
 
 def _any_word(c: Column, words: tuple[str, ...]) -> Column:
-    low = F.lower(F.coalesce(c, F.lit("")))
-    out = F.lit(False)
-    for w in words:
-        out = out | low.contains(w)
-    return out
+    """One pass for all words: an alternation of the quoted words."""
+    return F.lower(F.coalesce(c, F.lit(""))).rlike("|".join(re.escape(w) for w in words))
 
 
 def _size_in(w: Column, h: Column, sizes: tuple) -> Column:
@@ -78,10 +77,12 @@ def classify_origin(rows: DataFrame) -> DataFrame:
     (Google's origin) and sidecar_geo where a table has them; nulls are facts not known.
     """
     col = lambda name, kind="string": F.col(name) if name in rows.columns else F.lit(None).cast(kind)
-    path = forward(F.col("display_path"))
-    name, stem = basename_of(path), stem_of(path)
-    folders = F.lower(F.regexp_replace(path, "/[^/]*$", ""))
-    in_folder = lambda words: _any_word(F.when(path.contains("/"), folders), words)
+    # The parts of the path are columns first, so that the many rules below don't work them out again.
+    path = F.col("__path")
+    rows = rows.withColumn("__path", forward(F.col("display_path")))
+    rows = rows.withColumns({"__name": basename_of(path), "__stem": stem_of(path), "__folders": F.when(path.contains("/"), F.lower(F.regexp_replace(path, "/[^/]*$", "")))})
+    name, stem = F.col("__name"), F.col("__stem")
+    in_folder = lambda words: _any_word(F.col("__folders"), words)
     w, h = col("width", "int").cast("long"), col("height", "int").cast("long")
     known = F.coalesce((w > 0) & (h > 0), F.lit(False))
     ratio = F.greatest(w, h) / F.least(w, h)
@@ -99,9 +100,7 @@ def classify_origin(rows: DataFrame) -> DataFrame:
         .otherwise("screenshot_desktop")
     )
     scanner = _any_word(device, SCANNER_WORDS) | _any_word(col("exif_software"), SCANNER_WORDS)
-    messenger_name = F.lit(False)
-    for p in MESSENGER_NAMES:
-        messenger_name = messenger_name | _like(name, p)
+    messenger_name = _like(name, "(?:" + "|".join(MESSENGER_NAMES) + ")")
     capture = _like(name, SCREENSHOT_GENERIC) | _like(name, VIDEO_CAPTURE)
     document_name, web_name, camera_name = _like(name, DOCUMENT_NAME), _like(stem, WEB_NAME), _like(name, CAMERA_NAME)
     key = F.coalesce(col("sidecar_key"), F.lit(""))
@@ -134,7 +133,7 @@ def classify_origin(rows: DataFrame) -> DataFrame:
     return (
         rows.withColumn("__v", verdict)
         .withColumns({"origin_class": F.col("__v.c"), "origin_confidence": F.col("__v.k"), "origin_evidence": F.array_append(facts, F.col("__v.w"))})
-        .drop("__v")
+        .drop("__v", "__path", "__name", "__stem", "__folders")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from shelfmark.session import checkpointed
 from shelfmark.functions.measures import hamming
 from shelfmark.operators.similar import member_labels
 
@@ -55,9 +56,10 @@ def quarantine_routes(ranked: DataFrame, groups: DataFrame, decisions: DataFrame
 def unique_targets(routes: DataFrame) -> DataFrame:
     """Adds a number to targets that several files claim."""
     w = Window.partitionBy("target").orderBy("display_path")
-    n = F.row_number().over(w) - 1
-    named = F.when(F.col("target").isNotNull() & (n > 0), F.regexp_replace("target", r"(\.[^./]*)?$", F.concat(F.lit("__"), n.cast("string"), F.lit("$1"))))
-    return routes.withColumn("target", F.coalesce(named, F.col("target")))
+    # Rows without a target claim none; they are not dealt with the others.
+    claims = routes.where("target is not null").withColumn("__n", F.row_number().over(w) - 1)
+    named = F.when(F.col("__n") > 0, F.regexp_replace("target", r"(\.[^./]*)?$", F.concat(F.lit("__"), F.col("__n").cast("string"), F.lit("$1"))))
+    return claims.withColumn("target", F.coalesce(named, F.col("target"))).drop("__n").unionByName(routes.where("target is null"))
 
 
 def wrong_cuts(marked: DataFrame, keys: list[str], folder: str, *, time: str = "taken_at", path: str = "display_path") -> DataFrame:
@@ -80,7 +82,8 @@ def index_percentiles(values: DataFrame, column: str, shares: list[float]) -> Da
     """share, value: the element at int(share * (n - 1)) of the sorted values, by counts of distinct values."""
     counts = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = counts.repartitionByRange(column).sortWithinPartitions(column).withColumn("__p", F.spark_partition_id())
+    # Checkpointed: the bounds of ranges are sampled, and both uses below need the same ones.
+    buckets = checkpointed(counts.repartitionByRange(column).sortWithinPartitions(column).withColumn("__p", F.spark_partition_id()))
     heads = buckets.groupBy("__p").agg(F.sum("n").alias("__b"))
     before = heads.select("__p", (F.sum("__b").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__b")).alias("__before"))  # a row per partition
     w = Window.partitionBy("__p").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,12 @@ from shelfmark.operators.components import connected_components
 from shelfmark.session import checkpointed
 
 BITS = 63
+#: Share of all pairs that equal blocks bring together, from which on comparing all of them in numpy costs less.
+DENSE_BLOCKS = 1 / 100
+#: Rows of a part that one task compares with another part.
+PART_ROWS = 16_384
+#: Edges up to which the components of similar pairs are found in one task.
+FEW_EDGES = 200_000
 MAX_EXACT_SPREAD = 64
 
 
@@ -19,7 +28,6 @@ MAX_EXACT_SPREAD = 64
 class SimilarThresholds:
     distance: int = 6
     aspect: float = 0.35
-    max_bucket: int = 4_000
 
 
 def normalise_threshold(value: int) -> int:
@@ -28,47 +36,85 @@ def normalise_threshold(value: int) -> int:
     return value - value % 2
 
 
-def block_bounds(distance: int) -> list[tuple[int, int]]:
-    """(shift, width) of distance + 1 blocks, so that one block of a near pair is equal."""
-    blocks = min(distance + 1, BITS)
-    out, at = [], 0
-    for k in range(blocks):
-        width = (BITS - at) // (blocks - k)
-        out.append((at, width))
-        at += width
-    return out
+def bit_blocks(distance: int) -> list[tuple[int, int]]:
+    """(first bit, number of bits) of distance + 1 runs of bits: a pair within the distance agrees on all bits of one of them."""
+    n = min(distance + 1, BITS)
+    edges = [BITS * k // n for k in range(n + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _blocks(bits: Column, distance: int) -> Column:
-    cut = [F.struct(F.lit(k).alias("block_no"), F.shiftright(bits, s).bitwiseAND(F.lit((1 << w) - 1)).alias("block")) for k, (s, w) in enumerate(block_bounds(distance))]
-    return F.explode(F.array(*cut))
-
-
-def full_buckets(entries: DataFrame, t: SimilarThresholds = SimilarThresholds()) -> DataFrame:
-    """Buckets over max_bucket, whose pairs make the join slow; it leaves none out: block_no, block, n."""
-    return entries.select(_blocks(F.col("bits"), t.distance).alias("b")).select("b.*").groupBy("block_no", "block").agg(F.count("*").alias("n")).where(F.col("n") > t.max_bucket)
+def _block_of(bits: Column, first: int, size: int) -> Column:
+    return F.shiftright(bits, first).bitwiseAND(F.lit((1 << size) - 1))
 
 
 def hamming_pairs(entries: DataFrame, t: SimilarThresholds = SimilarThresholds()) -> DataFrame:
     """a, b, distance of pairs within the distance and aspect guard; a < b by content_hash. Null bits are left out.
 
-    Buckets are not capped: every pair of each bucket is compared, so the time grows with the square of the largest ones.
+    Exact at any size. Where blocks of bits are wide enough to part the fingerprints, pairs meet in a hash join of equal
+    blocks; where they are not (wide distances), parts of the table are compared with each other, part by part, bit by bit
+    in numpy, which costs less than the pairs that narrow blocks would bring together.
     """
-    cols = [F.col("content_hash"), F.col("bits"), F.col("aspect") if "aspect" in entries.columns else F.lit(0.0).alias("aspect")]
-    blocks = entries.where("bits is not null").select(*cols, _blocks(F.col("bits"), t.distance).alias("__b")).select("*", "__b.*").drop("__b")
-    a = blocks.select("block_no", "block", F.col("content_hash").alias("a"), F.col("bits").alias("ab"), F.col("aspect").alias("aa"))
-    b = blocks.select("block_no", "block", F.col("content_hash").alias("b"), F.col("bits").alias("bb"), F.col("aspect").alias("ba"))
-    near = (hamming(F.col("ab"), F.col("bb")) <= t.distance) & (aspect_log_ratio(F.col("aa"), F.col("ba")) <= t.aspect)
-    # A pair meets in every block that it shares; it counts in the first, so no distinct is needed.
-    first = F.coalesce(*[F.when(F.shiftright(F.col("ab").bitwiseXOR(F.col("bb")), s).bitwiseAND(F.lit((1 << w) - 1)) == 0, F.lit(k)) for k, (s, w) in enumerate(block_bounds(t.distance))])
-    met = a.join(b, ["block_no", "block"]).where((F.col("a") < F.col("b")) & near & (F.col("block_no") == first))
-    return met.select("a", "b", hamming(F.col("ab"), F.col("bb")).alias("distance"))
+    cols = [F.col("content_hash"), F.col("bits"), (F.col("aspect") if "aspect" in entries.columns else F.lit(0.0)).cast("double").alias("aspect")]
+    rows = entries.where("bits is not null").select(*cols)
+    met = sum(2.0**-size for _, size in bit_blocks(t.distance))
+    return _pairs_by_blocks(rows, t) if met < DENSE_BLOCKS else _pairs_by_parts(rows, t)
+
+
+def _pairs_by_blocks(rows: DataFrame, t: SimilarThresholds) -> DataFrame:
+    runs = bit_blocks(t.distance)
+    keyed = rows.select("*", F.posexplode(F.array(*[_block_of(F.col("bits"), *r) for r in runs])).alias("block_no", "block"))
+    side = lambda x: keyed.select("block_no", "block", *[F.col(c).alias(f"{x}_{c}") for c in ("content_hash", "bits", "aspect")])
+    far = hamming(F.col("a_bits"), F.col("b_bits"))
+    differ = F.col("a_bits").bitwiseXOR(F.col("b_bits"))
+    # A pair may agree on several blocks; it counts in the first of them.
+    earlier = [(F.col("block_no") > k) & (_block_of(differ, *r) == 0) for k, r in enumerate(runs[:-1])]
+    again = earlier[0]
+    for e in earlier[1:]:
+        again |= e
+    pairs = side("a").join(side("b").hint("merge"), ["block_no", "block"]).where(F.col("a_content_hash") < F.col("b_content_hash"))
+    pairs = pairs.where((far <= t.distance) & (aspect_log_ratio(F.col("a_aspect"), F.col("b_aspect")) <= t.aspect) & ~again)
+    return pairs.select(F.col("a_content_hash").alias("a"), F.col("b_content_hash").alias("b"), far.alias("distance"))
+
+
+def _pairs_by_parts(rows: DataFrame, t: SimilarThresholds) -> DataFrame:
+    distance, aspect = t.distance, t.aspect
+    n = max(1, -(-rows.count() // PART_ROWS))
+
+    def compare(part: pa.Table) -> pa.Table:
+        member = part.column("member").to_numpy(zero_copy_only=False).astype(bool)
+        bits = part.column("bits").to_numpy().view(np.uint64)
+        ratio = np.log(np.maximum(part.column("aspect").fill_null(0.0).to_numpy(), 1e-300))
+        known = part.column("aspect").fill_null(0.0).to_numpy() > 0
+        names = part.column("content_hash")
+        own, left, right, far = np.flatnonzero(member), [], [], []
+        step = max(1, 4_000_000 // max(1, len(bits)))
+        for k in range(0, len(own), step):
+            mine = own[k : k + step]
+            d = np.bitwise_count(bits[mine][:, None] ^ bits[None, :])
+            i, j = np.nonzero(d <= distance)
+            keep = (np.abs(ratio[mine[i]] - ratio[j]) <= aspect) | ~known[mine[i]] | ~known[j]
+            left.append(mine[i[keep]])
+            right.append(j[keep])
+            far.append(d[i[keep], j[keep]])
+        a, b, d = (np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in (left, right, far))
+        found = pa.table({"a": names.take(pa.array(a)), "b": names.take(pa.array(b)), "distance": pa.array(d.astype(np.int32))})
+        # A part against itself meets each pair twice, which counts from its smaller name; two parts meet each pair once.
+        block = part.column("block")[0].as_py()
+        found = found.filter(pc.less(found.column("a"), found.column("b")) if block // n == block % n else pa.array(~member[b]))
+        swap = pc.greater(found.column("a"), found.column("b"))
+        return pa.table({"a": pc.if_else(swap, found.column("b"), found.column("a")), "b": pc.if_else(swap, found.column("a"), found.column("b")), "distance": found.column("distance")})
+
+    own = rows.withColumn("own", F.pmod(F.xxhash64("content_hash"), F.lit(n)).cast("int"))
+    # Part i meets part j in block (i, j), i <= j; the rows of part i are its members.
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct((F.least(F.col("own"), j) * n + F.greatest(F.col("own"), j)).alias("block"), (F.col("own") <= j).alias("member")))
+    dealt = own.select("content_hash", "bits", "aspect", "own", F.explode(blocks).alias("x")).select("content_hash", "bits", "aspect", "own", "x.*")
+    return dealt.groupBy("block").applyInArrow(compare, "a string, b string, distance int")
 
 
 def similar_groups(entries: DataFrame, t: SimilarThresholds = SimilarThresholds()) -> DataFrame:
     """content_hash, group_id of every member of a group of two or more; group_id is the smallest member."""
     pairs = checkpointed(hamming_pairs(entries, t))
-    return connected_components(pairs, "a", "b").select(F.col("node").alias("content_hash"), F.col("component").alias("group_id"))
+    return connected_components(pairs, "a", "b", few=FEW_EDGES).select(F.col("node").alias("content_hash"), F.col("component").alias("group_id"))
 
 
 def group_spread(members: DataFrame, entries: DataFrame, distance: int) -> DataFrame:
@@ -85,11 +131,11 @@ def group_spread(members: DataFrame, entries: DataFrame, distance: int) -> DataF
 def distance_sensitivity(entries: DataFrame, distances: list[int], t: SimilarThresholds = SimilarThresholds()) -> DataFrame:
     """distance, n_pairs, n_groups, n_contents for each distance; the pairs are found once, for the largest."""
     spark = entries.sparkSession
-    widest = checkpointed(hamming_pairs(entries, SimilarThresholds(max(distances), t.aspect, t.max_bucket)))
+    widest = checkpointed(hamming_pairs(entries, SimilarThresholds(max(distances), t.aspect)))
     rows = []
     for d in distances:  # a handful of thresholds, each a scalar
         pairs = widest.where(F.col("distance") <= d)
-        labels = connected_components(pairs, "a", "b")
+        labels = connected_components(pairs, "a", "b", few=FEW_EDGES)
         n, groups = labels.agg(F.count("*"), F.countDistinct("component")).first()
         rows.append((d, pairs.count(), groups, n))
     return spark.createDataFrame(rows, "distance int, n_pairs long, n_groups long, n_contents long")

@@ -41,7 +41,7 @@ def similar_spread(spark, sf_dir):
 
 
 def distance_sensitivity(spark, sf_dir):
-    return sm.distance_sensitivity(_entries(spark, sf_dir), [8, 12, 16]).select("distance", "n_pairs")
+    return sm.distance_sensitivity(_entries(spark, sf_dir), [8, 12, 16])
 
 
 def _candidates(spark, sf_dir):
@@ -190,7 +190,9 @@ ORACLE_SQL = {
     "hamming_pairs": f"WITH {_PAIRS} SELECT * FROM p",
     "similar_groups": f"WITH RECURSIVE {_GROUPS} SELECT * FROM g",
     "similar_spread": f"WITH RECURSIVE {_GROUPS} SELECT x.group_id, count(DISTINCT x.content_hash) AS size, max(bit_count(xor(bx.bits, by_.bits)))::INT AS spread, CASE WHEN max(bit_count(xor(bx.bits, by_.bits))) <= 16 THEN 'copies' ELSE 'scene' END AS kind FROM g x JOIN g y ON x.group_id = y.group_id JOIN b bx ON bx.content_hash = x.content_hash JOIN b by_ ON by_.content_hash = y.content_hash GROUP BY x.group_id",
-    "distance_sensitivity": f"WITH {_PAIRS} SELECT t.d::INT AS distance, count(p.a) AS n_pairs FROM (VALUES (8), (12), (16)) t(d) LEFT JOIN p ON p.distance <= t.d GROUP BY t.d",
+    "distance_sensitivity": f"""WITH RECURSIVE {_PAIRS}, t AS (SELECT unnest([8, 12, 16])::INT AS d), ends AS (SELECT d, a, b FROM t JOIN p ON distance <= d UNION ALL SELECT d, b, a FROM t JOIN p ON distance <= d),
+reach AS (SELECT d, a AS n, a AS m FROM ends UNION SELECT reach.d, ends.b, reach.m FROM reach JOIN ends ON ends.d = reach.d AND ends.a = reach.n), found AS (SELECT d, n, min(m) AS g FROM reach GROUP BY 1, 2)
+SELECT t.d AS distance, (SELECT count(*) FROM p WHERE distance <= t.d) AS n_pairs, (SELECT count(DISTINCT g) FROM found WHERE found.d = t.d) AS n_groups, (SELECT count(*) FROM found WHERE found.d = t.d) AS n_contents FROM t""",
     "best_copy": f"WITH {_CAND} SELECT group_id, content_hash, copy_rank::INT AS copy_rank, CASE WHEN copy_rank > 1 OR n6 IS NULL THEN NULL WHEN k1 <> n1 THEN 'resolution' WHEN k2 <> n2 THEN 'recompression' WHEN k3 <> n3 THEN 'jpeg_quality' WHEN k4 <> n4 THEN 'sharpness' WHEN k5 <> n5 THEN 'size' ELSE 'hash' END AS deciding_level FROM r",
     "contested_copies": f"WITH {_CAND} SELECT group_id, content_hash, CASE WHEN basis = bb AND br - recompression >= 0.10 THEN 'compression' ELSE 'sharpness' END AS wins_by FROM r WHERE copy_rank > 1 AND ((basis = bb AND br - recompression >= 0.10) OR (bs > 0 AND sharpness >= 1.25 * bs AND NOT (basis = bb AND recompression - br >= 0.10)))",
     "album_queue": """WITH p AS (SELECT p_partkey % 50 AS album, printf('%08d', p_partkey) AS content_hash, round_even((1000 + p_size * 60)::DOUBLE * (800 + p_size * 50) / 1e6, 2) AS mp,

@@ -83,10 +83,10 @@ def moment_coverage(spark, sf_dir):
 
 def _journal(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")
-    kinds = F.array(*map(F.lit, ("move_pending", "move_done", "move_failed", "restored", "move_done")))
-    op = (F.col("event_id") * 7919 % 3000).alias("op_id")
+    kinds = F.array(*map(F.lit, ("move_pending", "move_done", "move_failed", "restored", "restore_failed", "move_pending")))
+    op = (F.col("event_id") % 3000).alias("op_id")
     return e.select(
-        op, F.element_at(kinds, (F.col("event_id") % 5).cast("int") + 1).alias("event"), F.col("event_id").alias("ts"),
+        op, F.element_at(kinds, (F.floor(F.col("event_id") / 7) % 6).cast("int") + 1).alias("event"), F.col("event_id").alias("ts"),
         F.concat(F.lit("D:/a/"), op.cast("string")).alias("original"), F.concat(F.lit("D:/q/"), op.cast("string")).alias("quarantined"), (op % 500).alias("size"),
     )
 
@@ -136,8 +136,9 @@ def plan_summary(spark, sf_dir):
 _IX = """i AS (SELECT *, source || '/' || doc_id AS display_path, octet_length(encode(text))::BIGINT AS sz, CASE WHEN doc_id % 3 <> 0 THEN sha256(text) END AS full_hash FROM documents),
 u AS (SELECT display_path, CASE WHEN doc_id % 10 <> 9 AND doc_id % 7 = 0 THEN 9.0::DOUBLE ELSE (doc_id % 5)::DOUBLE END AS source_mtime, CASE WHEN doc_id % 10 <> 9 AND doc_id % 7 = 0 THEN NULL ELSE full_hash END AS full_hash,
   CASE WHEN doc_id % 10 <> 9 THEN 's2' ELSE 's1' END AS last_scan_id, doc_id FROM i)"""
-_J = """j AS (SELECT event_id * 7919 % 3000 AS op_id, (['move_pending', 'move_done', 'move_failed', 'restored', 'move_done'])[(event_id % 5 + 1)::INT] AS event, event_id AS ts FROM events),
-o AS (SELECT op_id, CASE WHEN bool_or(event = 'restored') THEN 'restored' WHEN bool_or(event = 'move_failed') THEN 'failed' WHEN bool_or(event = 'move_done') THEN 'moved' ELSE 'pending' END AS status, min(ts) AS first_at, max(ts) AS last_at, op_id % 500 AS size FROM j GROUP BY op_id)"""
+_J = """j AS (SELECT event_id % 3000 AS op_id, (['move_pending', 'move_done', 'move_failed', 'restored', 'restore_failed', 'move_pending'])[(event_id // 7 % 6 + 1)::INT] AS event, event_id AS ts FROM events),
+s AS (SELECT op_id, list(DISTINCT event) AS seen, min(ts) AS first_at, max(ts) AS last_at, op_id % 500 AS size FROM j GROUP BY op_id),
+o AS (SELECT op_id, CASE WHEN list_contains(seen, 'restored') THEN 'restored' WHEN list_contains(seen, 'move_failed') THEN 'failed' WHEN list_contains(seen, 'move_done') THEN 'moved' ELSE 'pending' END AS status, first_at, last_at, size FROM s WHERE list_contains(seen, 'move_pending'))"""
 _P = f"""f AS (SELECT 'D:/' || source || '/' || {SQL_FOLDERS} || '/' || doc_id || '.jpg' AS source_path, source, doc_id, sha256(text) AS content_key, octet_length(encode(text))::BIGINT AS size, (doc_id % 7)::DOUBLE AS mtime,
   CASE WHEN doc_id % 5 IN (0, 3, 4) THEN 1 ELSE 0 END AS k1, CASE WHEN doc_id % 5 = 1 THEN -2 ELSE -1 END AS k2 FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY content_key ORDER BY k1, k2, length(source_path), mtime, source_path) AS rn FROM f),

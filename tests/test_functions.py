@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import measures as ms
 from shelfmark.functions import paths as pt
 from shelfmark.functions import times as tm
-from shelfmark.operators.geocode import preferred_spelling
+from shelfmark.operators.geocode import preferred_names
 from shelfmark.operators.origin import classify_origin
 
 
@@ -83,7 +83,7 @@ def test_origins(spark):
         assert (r.origin_class, r.origin_confidence) == (r.want, r.conf), r
 
 
-def test_spellings():
-    assert preferred_spelling("Paris", ["Париж", "Париж", "Парыж", "Парис"]) == "Париж"
-    assert preferred_spelling("Oslo", ["Oslo"]) == "Oslo"
-    assert preferred_spelling("Omsk", ["Омск", "Омськ"]) == "Омск"
+def test_spellings(spark):
+    rows = [("Paris", ["Париж", "Париж", "Парыж", "Парис"], "Париж"), ("Oslo", ["Oslo"], "Oslo"), ("Omsk", ["Омск", "Омськ"], "Омск"), ("Rome", None, "Rome"), ("X", [" Икс "], "Икс"), (None, [], None)]
+    frame = spark.createDataFrame(rows, "name string, alternates array<string>, want string")
+    assert [(r.name, r.shown_name) for r in preferred_names(frame).collect()] == [(n, w) for n, _, w in rows]

@@ -1,15 +1,53 @@
-"""The Hamming join loses no pair in buckets over max_bucket; with them left out, this test fails."""
+"""The Hamming join is exact for narrow and wide distances, at sizes where blocks would be crowded."""
 
 import random
 
-from shelfmark.operators.similar import SimilarThresholds, hamming_pairs
+import numpy as np
+import pytest
 
+from shelfmark.operators import similar as S
 
-def test_full_buckets_keep_their_pairs(spark):
-    r = random.Random(1)
-    base = [r.getrandbits(63) for _ in range(4)]
-    bits = {f"h{k:02}": r.choice(base) ^ sum(1 << b for b in r.sample(range(63), r.randrange(12))) for k in range(60)}
-    want = {(a, b, (x ^ y).bit_count()) for a, x in bits.items() for b, y in bits.items() if a < b and (x ^ y).bit_count() <= 16}
-    entries = spark.createDataFrame(list(bits.items()), "content_hash string, bits long")
-    got = [tuple(x) for x in hamming_pairs(entries, SimilarThresholds(16, max_bucket=3)).collect()]
-    assert len(got) == len(set(got)) and set(got) == want and want
+
+def fingerprints(n, near, flips, seed):
+    r = np.random.default_rng(seed)
+    # 31 of 63 bits each, as fingerprints above a median have
+    order = np.argsort(r.random((n, 63)), axis=1)[:, :31]
+    bits = (np.uint64(1) << order.astype(np.uint64)).sum(axis=1, dtype=np.uint64)
+    pick = random.Random(seed)
+    copies = []
+    for k in range(near):
+        x = int(bits[k])
+        ones, zeros = [b for b in range(63) if x >> b & 1], [b for b in range(63) if not x >> b & 1]
+        for a, b in zip(pick.sample(ones, flips // 2), pick.sample(zeros, flips // 2), strict=True):
+            x ^= 1 << a | 1 << b
+        copies.append(x)
+    return bits.tolist() + copies
+
+
+@pytest.mark.parametrize("distance, parts", [(4, 16_384), (6, 16_384), (16, 16_384), (16, 64)])
+def test_pairs_equal_brute_force(spark, monkeypatch, distance, parts):
+    monkeypatch.setattr(S, "PART_ROWS", parts)
+    bits = fingerprints(300, 60, distance, 3) + [0, 0, 0]
+    aspects = [(1.0, 1.3, 0.6, None, 0.0)[k % 5] for k in range(len(bits))]
+    frame = spark.createDataFrame([(f"{k:05d}", b, x) for k, (b, x) in enumerate(zip(bits, aspects, strict=True))] + [("null", None, 1.0)], "content_hash string, bits long, aspect double")
+    import math
+
+    close = lambda x, y: not x or not y or abs(math.log(x / y)) <= 0.35
+    want = sorted(
+        (f"{i:05d}", f"{j:05d}", (bits[i] ^ bits[j]).bit_count())
+        for i in range(len(bits))
+        for j in range(i + 1, len(bits))
+        if (bits[i] ^ bits[j]).bit_count() <= distance and close(aspects[i], aspects[j])
+    )
+    assert sorted(tuple(r) for r in S.hamming_pairs(frame, S.SimilarThresholds(distance)).collect()) == want and len(want) >= 30
+
+
+@pytest.mark.parametrize("distance", [6, 16])
+def test_a_hundred_thousand_fingerprints_lose_no_planted_pair(spark, distance):
+    n, near = 100_000, 300
+    bits = fingerprints(n, near, distance, 5)
+    import pandas as pd
+
+    frame = spark.createDataFrame(pd.DataFrame({"content_hash": [f"{k:08d}" for k in range(len(bits))], "bits": np.array(bits, np.int64)}))
+    got = {(r.a, r.b) for r in S.hamming_pairs(frame, S.SimilarThresholds(distance)).collect()}
+    assert {(f"{k:08d}", f"{n + k:08d}") for k in range(near)} <= got

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tarfile
 import zipfile
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from shelfmark.functions.paths import archive_kind, media_kind
+from shelfmark.operators.funnel import SAMPLE_BYTES
 
 # Folders that hold no files of a person.
 PRUNED_FOLDERS = (".git", "__pycache__", "node_modules", "$RECYCLE.BIN", "System Volume Information")
@@ -137,44 +139,91 @@ def archive_members(files: DataFrame) -> DataFrame:
 _MEMBERS = ["archive_path", "member_name", "size", "mtime", "error"]
 
 
-def archive_stats(members: DataFrame) -> DataFrame:
-    """archive_path, opened, members_total (listed), members_unreadable."""
-    return members.groupBy("archive_path").agg(F.bool_and(F.col("error").isNull()).alias("opened"), F.count("member_name").alias("members_total"), F.lit(0).cast("long").alias("members_unreadable"))
+def archive_stats(members: DataFrame, hashed: DataFrame | None = None) -> DataFrame:
+    """archive_path, opened, members_total (listed), members_unreadable.
+
+    ``hashed`` (of member_hashes) tells which listed members could not be read; without it none counts as unreadable.
+    """
+    stats = members.groupBy("archive_path").agg(F.bool_and(F.col("error").isNull()).alias("opened"), F.count("member_name").alias("members_total"))
+    if hashed is None:
+        return stats.withColumn("members_unreadable", F.lit(0).cast("long"))
+    listed = members.where("member_name is not null").select("archive_path", "member_name").distinct()
+    read = hashed.where("full_hash is not null").select("archive_path", "member_name").distinct()
+    lost = listed.join(read, ["archive_path", "member_name"], "left_anti").groupBy("archive_path").agg(F.count("*").alias("members_unreadable"))
+    return stats.join(lost, "archive_path", "left").withColumn("members_unreadable", F.coalesce("members_unreadable", F.lit(0)))
+
+
+def _opened(path: str, kind: str) -> Iterator[tuple[str, int, object]]:
+    """(name, size, stream or the error) of every file in an archive, front to back."""
+    if kind == "zip":
+        with zipfile.ZipFile(path) as z:
+            for i in z.infolist():
+                if not i.is_dir():
+                    try:
+                        with z.open(i) as s:
+                            yield i.filename, i.file_size, s
+                    except (OSError, RuntimeError, zipfile.BadZipFile, NotImplementedError) as e:
+                        yield i.filename, i.file_size, e
+    elif kind == "tar":
+        with tarfile.open(path, "r|*") as t:
+            for m in t:
+                if m.isfile():
+                    yield m.name, m.size, t.extractfile(m)
+    elif kind == "7z":
+        import py7zr
+
+        with py7zr.SevenZipFile(path) as z:
+            for name, s in z.readall().items():
+                yield name, len(s.getbuffer()), s
+    else:
+        import rarfile
+
+        with rarfile.RarFile(path) as z:
+            for i in z.infolist():
+                if not i.is_dir():
+                    with z.open(i) as s:
+                        yield i.filename, i.file_size, s
 
 
 def member_hashes(files: DataFrame) -> DataFrame:
-    """archive_path, member_name, size, quick_hash, full_hash: every archive is read once, front to back, in one task."""
-    schema = "archive_path string, member_name string, size long, full_hash string"
+    """archive_path, member_name, size, quick_hash, full_hash: every archive is read once, front to back, in one task.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
+    quick_hash is the digest of the size and the first and last 64 KiB, as for loose files. A member that can't be read has
+    null hashes; an archive that can't be opened is one row without a member. 7z and rar need py7zr and rarfile; without
+    them such an archive is one that can't be opened.
+    """
 
-        def digest(stream) -> str:
-            h = hashlib.sha256()
-            while chunk := stream.read(1 << 20):
-                h.update(chunk)
-            return h.hexdigest()
+    def digests(stream) -> tuple[int, str, str]:
+        full, n, head, tail = hashlib.sha256(), 0, b"", b""
+        while chunk := stream.read(1 << 20):
+            full.update(chunk)
+            n += len(chunk)
+            if len(head) < SAMPLE_BYTES:
+                head += chunk[: SAMPLE_BYTES - len(head)]
+            tail = (tail + chunk)[-SAMPLE_BYTES:]
+        quick = hashlib.md5(str(n).encode() + head + (tail if n > SAMPLE_BYTES else b""), usedforsecurity=False)
+        return n, quick.hexdigest(), full.hexdigest()
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, kind in zip(batch["path"], batch["archive_kind"], strict=True):
-                rows = []
+                rows: list[tuple] = []
                 try:
-                    if kind == "zip":
-                        with zipfile.ZipFile(path) as z:
-                            for i in z.infolist():
-                                if not i.is_dir():
-                                    with z.open(i) as s:
-                                        rows.append((path, i.filename, i.file_size, digest(s)))
-                    elif kind == "tar":
-                        with tarfile.open(path, "r|*") as t:
-                            for m in t:
-                                if m.isfile():
-                                    rows.append((path, m.name, m.size, digest(t.extractfile(m))))
-                except (OSError, zipfile.BadZipFile, tarfile.TarError, RuntimeError, EOFError):
-                    rows.append((path, None, None, None))
-                yield pd.DataFrame(rows, columns=["archive_path", "member_name", "size", "full_hash"])
-
-    return files.where("archive_kind in ('zip', 'tar')").select("path", "archive_kind").mapInPandas(run, schema)
+                    for name, size, stream in _opened(path, kind):
+                        try:
+                            if isinstance(stream, Exception):
+                                raise stream
+                            n, quick, full = digests(stream)
+                            rows.append((path, name, n, quick, full))
+                        except Exception:  # noqa: BLE001 - an unreadable member is a finding, not a failure
+                            rows.append((path, name, size, None, None))
+                except Exception:  # noqa: BLE001 - so is a broken archive
+                    if not rows:
+                        rows.append((path, None, None, None, None))
+                yield pd.DataFrame(rows, columns=["archive_path", "member_name", "size", "quick_hash", "full_hash"])
+
+    schema = "archive_path string, member_name string, size long, quick_hash string, full_hash string"
+    return files.where("archive_kind is not null").select("path", "archive_kind").mapInPandas(run, schema)
 
 
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:

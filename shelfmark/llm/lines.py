@@ -537,8 +537,8 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """``docs`` without the repeated lines; rows and other columns stay as they are, whatever they are called."""
     gone = repeated_lines(docs, id_col, text_col, edits, least, short).select(F.struct("rk1", "rk2").alias("own"), "removed")
     rows = docs.select(F.struct(*row_key(F.col(id_col).cast("long"), F.col(text_col))).alias("own"), F.struct("*").alias("row"))
-    joined = rows.join(gone, "own", "left").select("row.*", F.col("removed"))
-    place = docs.columns.index(text_col)
+    joined = rows.join(gone, "own", "left").select(*[F.col("row")[c].alias(f"c{k}") for k, c in enumerate(docs.columns)], "removed")
+    names, place = docs.columns, docs.columns.index(text_col)
 
     @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -550,7 +550,7 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
                     texts[k] = "\n".join([line for n, line in enumerate(texts[k].split("\n")) if n not in out])
             columns = list(batch.columns[:-1])
             columns[place] = pa.array(texts, batch.schema.field(place).type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return joined.mapInArrow(cut, T.StructType(docs.schema.fields))
 

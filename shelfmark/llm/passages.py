@@ -153,15 +153,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the spans cut out of the text; other columns and rows stay as they are."""
-    per_doc = spans.groupBy("rk1", "rk2").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
-    per_doc = per_doc.select(F.col("rk1").alias("__rk1"), F.col("rk2").alias("__rk2"), "__spans")
-    a, b = row_key(F.col(id_col).cast("long"), F.col(text_col))
-    joined = docs.withColumns({"__rk1": a, "__rk2": b}).join(per_doc, ["__rk1", "__rk2"], "left").drop("__rk1", "__rk2")
-    starts = F.array_append(F.transform("__spans", lambda s: s["start"]), F.length(text_col))
-    ends = F.array_prepend(F.transform("__spans", lambda s: s["end"]), F.lit(0))
-    pieces = F.zip_with(ends, starts, lambda e, s: F.substring(F.col(text_col), e + 1, s - e))
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(F.array_join(pieces, ""))).drop("__spans")
+    """``docs`` with the spans cut out of the text; other columns, whatever they are called, and rows stay as they are."""
+    per_doc = spans.groupBy(F.struct("rk1", "rk2").alias("own")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    rows = docs.select(F.struct(*row_key(F.col(id_col).cast("long"), F.col(text_col))).alias("own"), F.struct("*").alias("row"))
+    text = F.col("row")[text_col]
+    starts = F.array_append(F.transform("spans", lambda s: s["start"]), F.length(text))
+    ends = F.array_prepend(F.transform("spans", lambda s: s["end"]), F.lit(0))
+    pieces = F.zip_with(ends, starts, lambda e, s: F.substring(text, e + 1, s - e))
+    cut = F.when(F.col("spans").isNull(), text).otherwise(F.array_join(pieces, ""))
+    return rows.join(per_doc, "own", "left").select(*[cut.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -394,12 +394,11 @@ def simhash_groups(
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """``docs`` with one row of each component, the one of the smallest doc_id; all columns stay."""
+    """``docs`` with one row of each component, the one of the smallest doc_id; all columns stay, whatever they are called."""
     groups = simhash_groups(docs, id_col, text_col, **params)
-    kept = groups.where("rk1 = keep1 and rk2 = keep2").select(F.col("rk1").alias("__rk1"), F.col("rk2").alias("__rk2")).distinct()
-    a, b = row_key(F.col(id_col).cast("long"), F.col(text_col))
-    rows = docs.withColumns({"__rk1": a, "__rk2": b}).join(kept, ["__rk1", "__rk2"], "left_semi")
-    return rows.dropDuplicates(["__rk1", "__rk2"]).drop("__rk1", "__rk2")
+    kept = groups.where("rk1 = keep1 and rk2 = keep2").select(F.struct("rk1", "rk2").alias("own")).distinct()
+    rows = docs.select(F.struct(*row_key(F.col(id_col).cast("long"), F.col(text_col))).alias("own"), F.struct("*").alias("row"))
+    return rows.join(kept, "own", "left_semi").dropDuplicates(["own"]).select("row.*")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -118,38 +118,37 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER
     return fit_ordinal(sample, counts)
 
 
-def severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT, carry: bool = False) -> DataFrame:
+def severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
     """One row per input row: doc_id, severity (0 to 3), grade, toxic (P(grade >= 1) of ``cut`` or more).
 
     grade counts the thresholds that are likelier passed than not. Null and empty texts have no features and get the
-    severity of the cuts alone. Repeated rows are scored each; an empty table gives an empty result. With ``carry``
-    all columns of the input stay and the four are named __severity, ... so that they clash with none.
+    severity of the cuts alone. Repeated rows are scored each; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # VOCABULARY words at most
-    kinds = {"severity": pa.float64(), "grade": pa.int32(), "toxic": pa.bool_()}
-
-    def scored(texts: list[str]) -> dict[str, pa.Array]:
-        passed = [shared.value.at_least(t) for t in texts]
-        values = {"severity": [sum(p) for p in passed], "grade": [sum(x >= 0.5 for x in p) for p in passed], "toxic": [p[0] >= cut for p in passed]}
-        return {k: pa.array(v, kinds[k]) for k, v in values.items()}
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col if carry else "text"):
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col if carry else "text")).to_pylist()]
-            found = scored(texts)
-            columns = list(batch.columns) if carry else [batch.column(0)]
-            names = list(batch.schema.names) if carry else ["doc_id"]
-            yield pa.RecordBatch.from_arrays(columns + list(found.values()), names + [f"__{k}" if carry else k for k in found])
-
-    if carry:
-        schema = T.StructType(list(docs.schema.fields))
-        for name, kind in (("__severity", T.DoubleType()), ("__grade", T.IntegerType()), ("__toxic", T.BooleanType())):
-            schema = schema.add(name, kind)
-        return docs.mapInArrow(run, schema)
+        for batch in slices(batches, "text"):
+            passed = [shared.value.at_least(t or "") for t in batch.column(1).to_pylist()]
+            found = [pa.array([sum(p) for p in passed], pa.float64()), pa.array([sum(x >= 0.5 for x in p) for p in passed], pa.int32()), pa.array([p[0] >= cut for p in passed], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found], ["doc_id", "severity", "grade", "toxic"])
+
     return pick(docs, id_col, text_col).mapInArrow(run, "doc_id long, severity double, grade int, toxic boolean")
 
 
+def without_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text", cut: float = CUT) -> DataFrame:
+    """The rows of ``docs`` that are not toxic (as severity has it), with all their columns, whatever they are called."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, place):
+            yield batch.filter(pa.array([shared.value.at_least(t or "")[0] < cut for t in batch.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+
+
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, read_table(spark, sf_dir, "labels"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm import chat, decontam
 from shelfmark.llm.decontam import contaminated, without_contaminated
 from shelfmark.llm.quality import ByteConvNet, fit_quality, op3_quality, quality_scores
-from shelfmark.llm.toxicity import fit_ordinal, fit_toxicity, op2_toxicity, severity
+from shelfmark.llm.toxicity import fit_ordinal, fit_toxicity, op2_toxicity, severity, without_toxic
 from shelfmark.session import read_table
 
 SF = "/root/testdata/sf0.01"
@@ -82,8 +82,8 @@ def test_models_on_awkward_rows(spark, docs, no_docs):
     assert quality_scores(no_docs, fit_quality(no_docs, labels.limit(0))).count() == 0
     model = fit_toxicity(docs, labels)
     assert severity(docs, model).count() == docs.count()
-    carried = severity(docs, model, carry=True)
-    assert carried.columns[: len(docs.columns)] == docs.columns and carried.count() == docs.count()
+    kept = without_toxic(docs, model)
+    assert kept.columns == docs.columns and kept.count() == severity(docs, model).where("not toxic").count()
     assert severity(no_docs, fit_toxicity(no_docs, labels.limit(0))).count() == 0
 
 

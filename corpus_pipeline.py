@@ -16,7 +16,7 @@ from shelfmark.llm.decontam import without_contaminated
 from shelfmark.llm.lines import without_repeated_lines
 from shelfmark.llm.pieces import piece_codes
 from shelfmark.llm.simhash import without_near_copies
-from shelfmark.llm.toxicity import fit_toxicity, severity
+from shelfmark.llm.toxicity import fit_toxicity, without_toxic
 from shelfmark.session import ensure_checkpoint_dir, read_table
 
 #: Near copies here: sets of runs of five words with a Jaccard similarity of 0.8 or more, computed exactly. Candidates are what
@@ -25,29 +25,42 @@ NEAR = {"words": 5, "link_bits": 7, "lanes": 2, "confirm_bits": 14, "leaf_member
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model grades as toxic go."""
-    model = fit_toxicity(docs, read_table(spark, sf_dir, "labels"))
-    return severity(docs, model, carry=True).where("not __toxic").drop("__severity", "__grade", "__toxic")
+    """Documents that the ordinal model grades as toxic go.
+
+    The model is fitted on labelled rows of ``docs``; without labels of both kinds it says the share of toxic ones for all.
+    Null and empty texts are scored by the cuts alone; repeated rows are judged each; an empty table stays empty.
+    """
+    return without_toxic(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; n_chars follows the text."""
+    """Repeated lines go; n_chars follows the text.
+
+    All rows stay, also those whose text becomes empty. Null texts stay null (n_chars null), empty ones empty. Rows that
+    repeat both id and text lose the same lines. Very long lines are compared like any other; an empty table stays empty.
+    """
     kept = without_repeated_lines(docs, short=True)
     return kept.withColumn("n_chars", F.length("text").cast(kept.schema["n_chars"].dataType)) if "n_chars" in kept.columns else kept
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, that of the smallest doc_id (null ids last).
+
+    Rows without words, null or empty, are one group, and so are rows that repeat. An empty table stays empty.
+    """
     return without_near_copies(docs, **NEAR)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go.
+
+    Null and empty texts contain none; rows that repeat both id and text go or stay together; an empty table stays empty.
+    """
     return without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document, with their digests."""
+    """The ids of every document, with their digests: one row per row; null and empty texts have no ids."""
     return piece_codes(docs, keep_ids=True)
 
 

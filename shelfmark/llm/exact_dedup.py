@@ -1,8 +1,10 @@
 """Exact deduplication by deterministic block naming.
 
-Each normalised text is cut into fixed-size blocks. The distinct blocks are sorted and numbered, so a block's number
-is its name; then adjacent pairs of names are named in the same way, level by level, until every document has one
-name. Equal names at a level mean equal block sequences, by construction and without reliance on a hash.
+Each normalised text is cut into fixed-size blocks. The distinct blocks are dealt by hash, sorted inside each partition
+and numbered there, so a block's name is its partition and its rank in it; then adjacent pairs of names are named in the
+same way, level by level, until every document has one name. Equal names at a level mean equal block sequences: names
+are given to the bytes themselves, and no hash decides equality. Rows are told apart by their id and the SHA-256 that
+the result carries anyway.
 """
 
 from __future__ import annotations

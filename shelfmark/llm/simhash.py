@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import lean, pick, row_key, slices
+from shelfmark.llm.rolling import mixed
 from shelfmark.operators.components import connected_components
 from shelfmark.session import checkpointed, read_table
 
@@ -160,6 +161,33 @@ class VantageTree:
         return np.concatenate(rows), np.concatenate(leaves)
 
 
+def shards_of(tree: VantageTree, fps: np.ndarray, trees: int, t: int, large: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shard, is it a member) of every shard that a fingerprint belongs to or visits in tree number t.
+
+    A shard is a leaf, numbered from 0. A leaf that is ``large`` has grown beyond the sample that made the tree; it is split
+    further, down to the single values that its members have in the subspace (shards below 0): by the bound of one bit
+    a fingerprint visits its own value and those a bit away.
+    """
+    home = np.zeros(len(fps), np.int64)
+    row, leaf = tree.route(fps, 0)
+    home[row] = leaf
+    row, leaf = tree.route(fps, 1)
+    shard = leaf.astype(np.int64) * trees + t
+    member = home[row] == leaf
+    whole = ~np.isin(shard, large)
+    if whole.all():
+        return row, shard, member
+    near = np.unique(row[~whole])
+    bits = np.array([0, *(1 << b for b in range(64) if int(tree.mask) >> b & 1)], np.uint64)
+    value = ((fps[near] & tree.mask)[:, None] ^ bits).ravel()
+    place, its_leaf = tree.route(value, 0)
+    its_home = np.zeros(len(value), np.int64)
+    its_home[place] = its_leaf
+    fine = np.flatnonzero(np.isin(its_home * trees + t, large))
+    below = -(mixed(value[fine], t) >> np.uint64(1)).astype(np.int64) - 1
+    return np.concatenate([row[whole], near[fine // len(bits)]]), np.concatenate([shard[whole], below]), np.concatenate([member[whole], fine % len(bits) == 0])
+
+
 def subspaces(link_bits: int) -> list[int]:
     """Masks of link_bits // 2 + 1 runs of bits, so that one of them has at most one of the differing bits."""
     m = link_bits // 2 + 1
@@ -213,8 +241,9 @@ def hamming_links(points: DataFrame, link_bits: int, confirm_bits: int = 0, lane
     """Edges (src, dst) that join, directly or through others, every two rows of ``points`` within link_bits.
 
     ``points``: node long, fp0 long (64 bits), and with more lanes fp1, ...: then a link also needs the other lanes
-    to differ in confirm_bits at most. Rows are distinct fingerprints. Shards larger than a block are dealt out as
-    blocks of members against blocks of visitors, so no task holds a shard whole.
+    to differ in confirm_bits at most. Rows are distinct fingerprints. Leaves larger than a block are split down to single
+    values of the subspace, so a row has as many copies at most as the subspace has bits, whatever the table's size; and
+    where very many fingerprints share a value, blocks of its members meet blocks of its visitors, so no task holds it whole.
     """
     spark = points.sparkSession
     count = points.count()
@@ -224,42 +253,42 @@ def hamming_links(points: DataFrame, link_bits: int, confirm_bits: int = 0, lane
     names = ["node", *(f"fp{k}" for k in range(lanes))]
     columns = ", ".join(f"{n} long" for n in names)
 
-    def deal(batches: Iterator[pa.RecordBatch], homes_only: bool) -> Iterator[pa.RecordBatch]:
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy().view(np.uint64)
+            for t, tree in enumerate(shared.value):
+                leaves, counts = np.unique(tree.route(fps, 0)[1], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"shard": pa.array(leaves.astype(np.int64) * len(shared.value) + t), "members": pa.array(counts.astype(np.int64))})
+
+    # Sizes of leaves: as many rows as the trees have leaves, which the sample bounds.
+    sizes = points.select("fp0").mapInArrow(homes, "shard long, members long").groupBy("shard").agg(F.sum("members").alias("n"))
+    large = np.array(sorted(r.shard for r in sizes.where(F.col("n") > BLOCK_MEMBERS).collect()), np.int64)
+
+    @lean
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(1).to_numpy().view(np.uint64)
             for t, tree in enumerate(shared.value):
-                home = np.zeros(len(fps), np.int32)
-                row, leaf = tree.route(fps, 0)
-                home[row] = leaf
-                if homes_only:
-                    leaves, counts = np.unique(home, return_counts=True)
-                    shard = leaves.astype(np.int64) * len(shared.value) + t
-                    yield pa.RecordBatch.from_pydict({"shard": pa.array(shard), "members": pa.array(counts.astype(np.int64))})
-                    continue
-                row, leaf = tree.route(fps, 1)
-                shard = leaf.astype(np.int64) * len(shared.value) + t
+                row, shard, member = shards_of(tree, fps, len(shared.value), t, large)
                 for a in range(0, len(row), 100_000):
                     part = pa.array(row[a : a + 100_000])
                     out = [batch.column(k).take(part) for k in range(len(names))]
-                    out += [pa.array(shard[a : a + 100_000]), pa.array(home[row[a : a + 100_000]] == leaf[a : a + 100_000])]
-                    yield pa.RecordBatch.from_arrays(out, [*names, "shard", "member"])
+                    yield pa.RecordBatch.from_arrays([*out, pa.array(shard[a : a + 100_000]), pa.array(member[a : a + 100_000])], [*names, "shard", "member"])
 
-    # Sizes of leaves: as many rows as the trees have leaves, which the sample bounds.
-    sizes = points.select(*names).mapInArrow(lambda batches: deal(batches, True), "shard long, members long").groupBy("shard").agg(F.sum("members").alias("n"))
-    large = {r.shard: -(-r.n // BLOCK_MEMBERS) for r in sizes.where(F.col("n") > BLOCK_MEMBERS).collect()}
-    dealt = points.select(*names).mapInArrow(lambda batches: deal(batches, False), f"{columns}, shard long, member boolean")
+    dealt = points.select(*names).mapInArrow(deal, f"{columns}, shard long, member boolean")
     block = F.lit(0)
-    if large:
-        # A member goes to its own block of members for all blocks of visitors, and as a visitor to one block for all.
-        grid = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in large.items() for x in kv]), F.col("shard")), F.lit(1))
-        dealt = dealt.withColumn("g", grid).withColumn("i", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-        as_member = dealt.where("member").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumn("block", F.col("i") * F.col("g") + F.col("block"))
-        as_visitor = (
-            dealt.withColumn("member", F.lit(False)).where("g > 1").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumn("block", F.col("k") * F.col("g") + F.col("i")).drop("k")
-        )
-        alone = dealt.where("g = 1 and not member").withColumn("block", F.lit(0))
-        dealt = as_member.unionByName(as_visitor).unionByName(alone)
-        block = F.col("block")
+    if len(large):
+        members = dealt.where("member and shard < 0").groupBy("shard").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("g"))
+        over = checkpointed(members.where("g > 1"))
+        if not over.isEmpty():
+            # A member goes to its own block of members for all blocks of visitors, and as a visitor to one block for all.
+            dealt = dealt.join(over.hint("merge"), "shard", "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("i", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+            parts = F.sequence(F.lit(0), F.col("g") - 1)
+            as_member = F.transform(parts, lambda k: F.struct((F.col("i") * F.col("g") + k).alias("block"), F.lit(True).alias("member")))
+            as_visitor = F.transform(parts, lambda k: F.struct((k * F.col("g") + F.col("i")).alias("block"), F.lit(False).alias("member")))
+            told = F.when(F.col("member") & (F.col("g") > 1), F.concat(as_member, as_visitor)).when(F.col("member"), as_member).otherwise(as_visitor)
+            dealt = dealt.select(*names, "shard", F.explode(told).alias("b")).select(*names, "shard", "b.member", "b.block")
+            block = F.col("block")
     return dealt.withColumn("block", block).groupBy("shard", "block").applyInArrow(lambda part: _compare(link_bits, confirm_bits, lanes, part), "src long, dst long")
 
 

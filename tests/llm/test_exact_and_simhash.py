@@ -58,7 +58,7 @@ def test_long_texts_are_summed_in_pieces(monkeypatch):
     assert (S.fingerprints([S.shingle_hashes(t, 4) for t in texts]) == whole).all()
 
 
-@pytest.mark.parametrize("bits,block", [(4, 4096), (4, 20), (7, 4096)])
+@pytest.mark.parametrize("bits,block", [(4, 4096), (4, 20), (4, 2), (7, 4096), (7, 10)])
 def test_hamming_links_lose_nothing(spark, monkeypatch, bits, block):
     monkeypatch.setattr(S, "BLOCK_MEMBERS", block)
     monkeypatch.setattr(S, "LEAF_MEMBERS", 30)

@@ -60,6 +60,15 @@ def pick(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def least_hashes(rows: DataFrame, column: str, most: int, count: int) -> DataFrame:
+    """The rows that can be among the ``most`` with the least hashes of a column, of ``count`` in all: not many more.
+
+    So a sample in hash order is not gathered from each partition's first rows, which grow with the partitions.
+    """
+    share = (1.25 * most + 200) / max(1, count)
+    return rows if share >= 1 else rows.where(F.xxhash64(column) < int((share - 0.5) * 2**64))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_chars: int, most_total: int, where: Column | None = None):
     """A bounded sample of labelled texts for fitting: [(text, label 0 or 1)], and the rows of each label there are.
 
@@ -73,7 +82,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     found: list[tuple[str, int]] = []
     for y in (0, 1):
-        ids = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        ids = least_hashes(known.where(F.col("y") == y), "doc_id", per_class, counts.get(y, 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         rows = pick(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").withColumn("n", F.length("text")).where(F.col("n") <= most_chars)
         top = rows.withColumns({"a": F.xxhash64("doc_id"), "b": F.xxhash64("text")}).orderBy("a", "b").limit(per_class)
         # The window sees no more than those rows.

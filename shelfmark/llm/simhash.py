@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import lean, pick, row_key, slices
+from shelfmark.llm.common import lean, least_hashes, pick, row_key, slices
 from shelfmark.llm.rolling import mixed
 from shelfmark.operators.components import connected_components
 from shelfmark.session import checkpointed, read_table
@@ -247,7 +247,8 @@ def hamming_links(points: DataFrame, link_bits: int, confirm_bits: int = 0, lane
     """
     spark = points.sparkSession
     count = points.count()
-    sample = np.array([r[0] for r in points.select("fp0").orderBy(F.xxhash64("fp0")).limit(TREE_SAMPLE).collect()], np.int64).view(np.uint64)
+    some = least_hashes(points.select("fp0", F.xxhash64("fp0").alias("h")), "fp0", TREE_SAMPLE, count).limit(2 * TREE_SAMPLE)
+    sample = np.array([r.fp0 for r in sorted(some.collect(), key=lambda r: (r.h, r.fp0))[:TREE_SAMPLE]], np.int64).view(np.uint64)
     trees = [VantageTree(sample, mask, max(1, min(count // leaf_members, len(sample) // 8))) for mask in subspaces(link_bits)]
     shared = spark.sparkContext.broadcast(trees)  # bounded by TREE_SAMPLE
     names = ["node", *(f"fp{k}" for k in range(lanes))]

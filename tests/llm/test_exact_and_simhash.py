@@ -101,3 +101,16 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert {got[k] for k in range(61)} == {0} and {got[k] for k in (100, 101, 102)} == {100}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_the_least_hashes_are_kept(spark):
+    from pyspark.sql import functions as F
+
+    from shelfmark.llm.common import least_hashes
+
+    rows = spark.range(20_000)
+    for most in (1, 100, 5000, 30_000):
+        want = [r.id for r in rows.orderBy(F.xxhash64("id")).limit(most).collect()]
+        kept = least_hashes(rows, "id", most, 20_000)
+        assert [r.id for r in kept.orderBy(F.xxhash64("id")).limit(most).collect()] == want
+        assert kept.count() <= max(2 * most, most + 600)

@@ -1,9 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut after each sentence, and within sentences at words that their content chooses: of any nine successive
+A text is cut after each sentence, and within sentences at words that their content chooses: of any four successive
 words, the last one with the least hash (ends of sentences first), so two copies are cut alike wherever they stand.
-From each cut on, the shortest run of consecutive pieces with at least 15 words is hashed; so any 50 words that two
-texts share hold a whole run. The hashes are joined globally, and the characters of every run that has an earlier
+From each cut on, the shortest run of consecutive pieces with at least 37 words is hashed; so any 50 words that two
+texts share hold a whole run, and 36 words or fewer that they share never do. The hashes are joined globally, and the characters of every run that has an earlier
 occurrence are covered. Covered runs that touch become one span.
 
 Most runs occur once. Their hashes meet in a compact exchange first, and only runs whose hash may repeat are exchanged
@@ -25,10 +25,11 @@ from shelfmark.llm.packed import binary_rows, bit_filter, dealt, shares
 from shelfmark.llm.rolling import Rolling, code_points, mixed
 from shelfmark.session import checkpointed, read_table
 
-WORDS = 15
-#: Of so many successive words, one at least ends in a cut. Cuts of shared words agree from the ninth of them to the ninth from
-#: their end; the first is in the 17th place at most, and a run of 15 words ends 8 words later at most: 4 * 9 + 15 - 3 < 50.
-WINDOW = 9
+#: The words of a run: as many as WINDOW allows, so that common phrases and notices of a few lines are no passages.
+WORDS = 37
+#: Of so many successive words, one at least ends in a cut. Cuts of shared words agree from the fourth of them to the fourth from
+#: their end; the first is in the 7th place at most, and a run of 37 words ends 3 words later at most: 4 * 4 + 37 - 3 <= 50.
+WINDOW = 4
 #: Hashes that a task holds before it sends them.
 HELD = 1_000_000
 _END = np.array([ord(c) for c in ".!?…"], np.uint32)

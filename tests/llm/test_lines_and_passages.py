@@ -157,7 +157,7 @@ def mix(z, salt=0):
     return z ^ z >> 31
 
 
-def plain_runs(text, words=15, window=9):
+def plain_runs(text, words=37, window=4):
     """(the words of a run, start, end), by the definition."""
     places = [m.span() for m in re.finditer(r"\S+", text)]
     if not places:

@@ -64,6 +64,10 @@ def test_any_fifty_shared_words_hold_a_run(spark):
     docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
     spans = repeated_spans(docs).collect()
     assert spans and all(x.doc_id == 2 and b[x.start : x.end] in shared for x in spans)
+    # What is shorter than a run is no passage, however it is cut.
+    short = say(36, 0.2)
+    docs = spark.createDataFrame([(k, f"{say(40, 0.2)} {short} {say(40, 0.2)}") for k in range(3)], "doc_id long, text string")
+    assert repeated_spans(docs).count() == 0
 
 
 def test_typed_and_chained_assignments_and_keys():

@@ -144,7 +144,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = checkpointed(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     again = found.join(firsts.hint("merge"), ["h1", "h2"]).where(place != F.col("first"))
     doc = ["doc_id", "rk1", "rk2"]
-    covered = again.groupBy(*doc, "start").agg(F.max("end").alias("end"), F.min("first.doc_id").alias("first_doc_id"))
+    # One exchange by document serves what follows: rows that repeat, islands and spans.
+    covered = again.repartition(*doc).groupBy(*doc, "start").agg(F.max("end").alias("end"), F.min("first.doc_id").alias("first_doc_id"))
     order = Window.partitionBy(*doc).orderBy("start")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start") > F.coalesce(F.col("reach"), F.lit(-1)), 1).otherwise(0)).over(order)

@@ -18,6 +18,8 @@ SHARES_A_PARTITION = 4
 #: Bits of a filter: 16 MB, however large the tables are.
 FILTER_BITS = 2**27
 _BUCKET = 32_768
+#: Where the higher part of a hash begins.
+_HIGHER = 21
 
 
 def shares(spark: SparkSession) -> int:
@@ -38,20 +40,28 @@ def binary_rows(rows: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 class BitFilter:
-    """A bit for each value of a hash modulo FILTER_BITS."""
+    """Two bits for each hash, at places that its lower and its higher part give."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
 
-    def passes(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes.astype(np.uint64) & np.uint64(8 * len(self.bits) - 1)
+    def _set(self, at: np.ndarray) -> np.ndarray:
+        at = at & np.uint64(8 * len(self.bits) - 1)
         return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        hashes = hashes.astype(np.uint64)
+        out = self._set(hashes)
+        out[out] = self._set(hashes[out] >> np.uint64(_HIGHER))
+        return out
+
 
 def bit_filter(rows: DataFrame, column: str):
     """A broadcast filter of the values of a long column; each bucket of bits is put together where its rows are."""
-    place = F.col(column).bitwiseAND(FILTER_BITS - 1) + 1
-    buckets = rows.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    parts = F.array(F.col(column), F.shiftrightunsigned(column, _HIGHER))
+    place = F.explode(F.transform(parts, lambda h: h.bitwiseAND(FILTER_BITS - 1) + 1))
+    places = rows.select(place.alias("place"))
+    buckets = places.groupBy(F.bitmap_bucket_number("place").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
     found = buckets.toArrow()  # FILTER_BITS / 8 bytes at most
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for k, piece in zip(found.column("k").to_pylist(), found.column("bits").to_pylist(), strict=True):

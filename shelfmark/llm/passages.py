@@ -32,6 +32,7 @@ WORDS = 37
 WINDOW = 4
 #: Hashes that a task holds before it sends them.
 HELD = 1_000_000
+_PLACE = ("doc_id", "rk1", "rk2", "start")
 _END = np.array([ord(c) for c in ".!?…"], np.uint32)
 _TABLES: list[np.ndarray] = []
 
@@ -138,14 +139,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays(kept + more, ["doc_id", "rk1", "rk2", "h1", "h2", "start", "end"])
 
     found = keyed.mapInArrow(emit, "doc_id long, rk1 long, rk2 long, h1 long, h2 long, start int, end int")
-    place = F.struct("doc_id", "rk1", "rk2", "start")
+    place = F.struct(*_PLACE)
     # A run's occurrences are merged in each task before they are shuffled, so a common passage is a row per task.
     # They are checkpointed, so that Spark can split the occurrences of such a passage over several tasks of the join.
-    firsts = checkpointed(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    again = found.join(firsts.hint("merge"), ["h1", "h2"]).where(place != F.col("first"))
+    firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = checkpointed(firsts.select("h1", "h2", *[F.col(f"first.{c}").alias(f"first_{c}") for c in _PLACE]))
+    first = F.struct(*[F.col(f"first_{c}").alias(c) for c in _PLACE])
+    again = found.join(firsts.hint("merge"), ["h1", "h2"]).where(place != first)
     doc = ["doc_id", "rk1", "rk2"]
     # One exchange by document serves what follows: rows that repeat, islands and spans.
-    covered = again.repartition(*doc).groupBy(*doc, "start").agg(F.max("end").alias("end"), F.min("first.doc_id").alias("first_doc_id"))
+    covered = again.repartition(*doc).groupBy(*doc, "start").agg(F.max("end").alias("end"), F.min("first_doc_id").alias("first_doc_id"))
     order = Window.partitionBy(*doc).orderBy("start")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start") > F.coalesce(F.col("reach"), F.lit(-1)), 1).otherwise(0)).over(order)

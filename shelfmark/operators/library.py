@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,35 +65,49 @@ def special_folder(origin: Column, taken_at: Column) -> Column:
     )
 
 
+def name_family(name: Column) -> Column:
+    """What all names that can come of one another share: lower case, without the numbers that a claim appends to a stem."""
+    low = F.lower(name)
+    stem = F.coalesce(F.nullif(F.regexp_extract(low, r"(?s)^(.+)\.[^.]*$", 1), F.lit("")), low)
+    return F.concat(F.regexp_replace(stem, r"(__[0-9]+)+$", ""), F.substring(low, F.length(stem) + 1, F.length(low)))
+
+
 def claim_names(movers: DataFrame, existing: DataFrame) -> DataFrame:
     """Adds final_name: in each folder, by (basename, path), names are claimed without regard to case.
 
-    A taken name gets ``stem__n.ext``. The state of a folder is sequential, so a folder is one group; its rows are its
-    files. A file that is already in place keeps its name.
+    A taken name gets ``stem__n.ext``. Claims are sequential, but a claim meets names of its own family only, so a group is
+    a family of a folder, and a family of one file with nothing there needs no group. A file already in place keeps its name.
     """
-    taken = existing.groupBy("folder").agg(F.collect_set(F.lower("name")).alias("__taken"))
-    rows = movers.join(taken, "folder", "left")
+    key = ["folder", "__family"]
+    rows = movers.withColumn("__family", name_family(F.col("basename")))
+    taken = existing.withColumn("__family", name_family(F.col("name"))).groupBy(*key).agg(F.collect_set(F.lower("name")).alias("__taken"))
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("__n"))
+    rows = rows.join(sizes.join(taken, key, "left"), key, "left")
+    contested = F.coalesce((F.col("__n") > 1) | F.col("__taken").isNotNull(), F.lit(True))
 
     def claim(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["basename", "source"], kind="stable")
         used = set(part["__taken"].iloc[0]) if part["__taken"].iloc[0] is not None else set()
-        own = {n.lower() for n in part.loc[part["in_place"], "basename"]}
+        used |= {n.lower() for n in part.loc[part["in_place"], "basename"]}
+        tried: dict[str, int] = {}  # names are only ever taken, so a stem's search goes on where it ended
         out = []
         for name, here in zip(part["basename"], part["in_place"], strict=True):
             final = name
             if not here:
                 stem, dot, ext = name.rpartition(".")
                 stem, tail = (stem, dot + ext) if stem else (name, "")
-                k = 0
-                while final.lower() in used or final.lower() in own:
+                k = tried.get(name.lower(), 0)
+                while (final.lower() if k == 0 else f"{stem}__{k}{tail}".lower()) in used:
                     k += 1
-                    final = f"{stem}__{k}{tail}"
+                tried[name.lower()] = k
+                final = f"{stem}__{k}{tail}" if k else name
             used.add(final.lower())
             out.append(final)
-        return part.assign(final_name=out).drop(columns="__taken")
+        return part.assign(final_name=out).drop(columns=["__taken", "__n", "__family"])
 
     kinds = ", ".join(f"`{n}` {k}" for n, k in movers.dtypes)
-    return rows.groupBy("folder").applyInPandas(claim, f"{kinds}, final_name string")
+    claimed = rows.where(contested).groupBy(*key).applyInPandas(claim, f"{kinds}, final_name string")
+    return rows.where(~contested).withColumn("final_name", F.col("basename")).select(*claimed.columns).unionByName(claimed)
 
 
 def plan_library(files: DataFrame, layout: LibraryLayout, existing: DataFrame, busy: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -120,18 +137,22 @@ def plan_library(files: DataFrame, layout: LibraryLayout, existing: DataFrame, b
     return moves, redundant, problems
 
 
-def plan_fingerprint(moves: DataFrame, shards: int = 0) -> DataFrame:
+def plan_fingerprint(moves: DataFrame) -> DataFrame:
     """The plan's 16 hex digits: SHA-256 over the sorted lines ``source NUL destination newline``.
 
-    The digest is over one text, so its lines meet in one task; a plan is for people to read. With ``shards`` the lines
-    are digested in that many parts by hash first, for plans of any size (a different, equally stable, fingerprint).
+    The digest is over one text, so its lines pass through one task. It sorts them, spilling where it must, and holds a
+    batch of them at a time.
     """
-    line = F.concat_ws("\0", "source", "destination")
-    text = lambda c: F.array_join(F.transform(F.sort_array(c), lambda z: F.concat(z, F.lit("\n"))), "")
-    if not shards:
-        return moves.agg(F.substring(F.sha2(text(F.collect_list(line)), 256), 1, 16).alias("fingerprint"))
-    parts = moves.groupBy(F.pmod(F.xxhash64(line), F.lit(shards)).alias("__s")).agg(F.sha2(text(F.collect_list(line)), 256).alias("__d"))
-    return parts.agg(F.substring(F.sha2(text(F.collect_list(F.concat_ws(":", "__s", "__d"))), 256), 1, 16).alias("fingerprint"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = hashlib.sha256()
+        for batch in batches:
+            whole.update("".join(f"{line}\n" for line in batch.column(0).to_pylist()).encode())
+        yield pa.RecordBatch.from_pydict({"fingerprint": [whole.hexdigest()[:16]]})
+
+    lines = moves.select(F.concat_ws("\0", "source", "destination").alias("line")).repartition(1).sortWithinPartitions("line")
+    nothing = hashlib.sha256().hexdigest()[:16]
+    return lines.mapInArrow(digest, "fingerprint string").agg(F.coalesce(F.first("fingerprint"), F.lit(nothing)).alias("fingerprint"))
 
 
 def plan_summary(moves: DataFrame) -> DataFrame:

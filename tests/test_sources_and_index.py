@@ -1,4 +1,7 @@
+import hashlib
 import json
+import os
+import random
 import tarfile
 import zipfile
 
@@ -123,6 +126,37 @@ def test_names_are_claimed_in_order(spark):
     assert got == {"c/x.jpg": "x.jpg", "a/X.jpg": "X__2.jpg", "b/x.jpg": "x__3.jpg"}
 
 
+def test_claims_of_families_equal_claims_of_whole_folders(spark):
+    r = random.Random(5)
+    names = ["x.jpg", "X.jpg", "x__1.jpg", "x__1__1.jpg", "x__2.JPG", ".bashrc", ".bashrc__1", "plain", "plain__1", "a.b.c", "a.b__1.c", "end.", "__1.jpg"]
+    rows, there, want = [], [], {}
+    for f in range(30):
+        there += [(str(f), n) for n in r.sample(names, 3)]
+        files = sorted({(r.choice(names), f"{f}/{r.randrange(99)}") for _ in range(12)})
+        used = {n.lower() for g, n in there if g == str(f)}
+        at_home = files[r.randrange(len(files))]
+        used.add(at_home[0].lower())
+        for name, source in files:
+            final, k, (stem, tail) = name, 0, os.path.splitext(name) if name.rfind(".") > 0 else (name, "")
+            while (name, source) != at_home and final.lower() in used:
+                final, k = f"{stem}__{k + 1}{tail}", k + 1
+            used.add(final.lower())
+            want[str(f), name, source] = final
+            rows.append((str(f), name, source, (name, source) == at_home))
+    r.shuffle(rows)
+    movers = spark.createDataFrame(rows, "folder string, basename string, source string, in_place boolean")
+    got = library.claim_names(movers, spark.createDataFrame(there, "folder string, name string")).collect()
+    assert {(x.folder, x.basename, x.source): x.final_name for x in got} == want and len(got) == len(rows)
+
+
+def test_plan_fingerprint_is_the_digest_of_sorted_lines(spark):
+    rows = [("b", "x"), ("a", "ü"), ("é", "y"), ("a", "b")]
+    frame = spark.createDataFrame(rows, "source string, destination string").repartition(3)
+    want = lambda some: hashlib.sha256("".join(sorted(f"{a}\0{b}\n" for a, b in some)).encode()).hexdigest()[:16]
+    assert [tuple(x) for x in library.plan_fingerprint(frame).collect()] == [(want(rows),)]
+    assert [tuple(x) for x in library.plan_fingerprint(frame.limit(0)).collect()] == [(want([]),)]
+
+
 def test_album_folders(spark):
     day = 1_600_000_000
     rows = [(1, float(day), 50, "Lake"), (2, float(day + 60), 50, "Lake"), (3, float(day), 50, None), (4, float(day), 2, "Tiny")]

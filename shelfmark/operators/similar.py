@@ -21,7 +21,8 @@ DENSE_BLOCKS = 1 / 100
 PART_ROWS = 16_384
 #: Edges up to which the components of similar pairs are found in one task.
 FEW_EDGES = 200_000
-MAX_EXACT_SPREAD = 64
+#: Different fingerprints of a group up to which Spark pairs them; in larger groups parts are compared in numpy.
+JOINED_SPREAD = 64
 
 
 @dataclass(frozen=True)
@@ -118,16 +119,46 @@ def similar_groups(entries: DataFrame, t: SimilarThresholds = SimilarThresholds(
 
 
 def group_spread(members: DataFrame, entries: DataFrame, distance: int) -> DataFrame:
-    """group_id, size, spread (greatest distance inside; null over 64 members), kind (copies or scene)."""
-    sizes = members.groupBy("group_id").agg(F.count("*").alias("size"))
-    bits = members.join(entries.select("content_hash", "bits"), "content_hash")
-    small = bits.join(sizes.where(F.col("size") <= MAX_EXACT_SPREAD), "group_id")
-    a, b = small.select("group_id", F.col("content_hash").alias("a"), F.col("bits").alias("ab")), small.select("group_id", F.col("content_hash").alias("b"), F.col("bits").alias("bb"))
-    spread = a.join(b, "group_id").where("a < b").groupBy("group_id").agg(F.max(hamming(F.col("ab"), F.col("bb"))).alias("spread"))
+    """group_id, size, spread (greatest distance inside), kind (copies or scene).
+
+    Exact for groups of any size; equal fingerprints are compared once. The spread is null where fewer than two members
+    have bits.
+    """
+    members = checkpointed(members)
+    sizes = members.groupBy("group_id").agg(F.count_distinct("content_hash").alias("size"))
+    bits = members.join(entries.select("content_hash", "bits").where("bits is not null"), "content_hash")
+    points = checkpointed(bits.groupBy("group_id", "bits").agg(F.count("*").alias("n")))
+    counts = checkpointed(points.groupBy("group_id").agg(F.count("*").alias("points"), F.sum("n").alias("rows")))
+    small = points.join(counts.where(F.col("points").between(2, JOINED_SPREAD)), "group_id")
+    a, b = small.select("group_id", F.col("bits").alias("ab")), small.select("group_id", F.col("bits").alias("bb"))
+    joined = a.join(b, "group_id").where("ab < bb").select("group_id", hamming(F.col("ab"), F.col("bb")).alias("far"))
+    same = counts.where("points = 1 and rows > 1").select("group_id", F.lit(0).alias("far"))
+    far = joined.unionAll(same).unionAll(_far_by_parts(points, counts.where(F.col("points") > JOINED_SPREAD)))
+    spread = far.groupBy("group_id").agg(F.max("far").alias("spread"))
     kind = F.when(F.col("spread") <= distance, "copies").otherwise("scene")
     return sizes.join(spread, "group_id", "left").withColumn("kind", kind)
 
 
+def _far_by_parts(points: DataFrame, counts: DataFrame) -> DataFrame:
+    """group_id, far: the greatest distance in each block of two parts of a group (group_id, bits; counts: group_id, points)."""
+
+    def compare(part: pa.Table) -> pa.Table:
+        member = part.column("member").to_numpy(zero_copy_only=False).astype(bool)
+        bits = part.column("bits").to_numpy().view(np.uint64)
+        # Without rows of another part, the block is a part against itself.
+        own, other = bits[member], bits if member.all() else bits[~member]
+        step = max(1, 4_000_000 // max(1, len(other)))
+        far = max((int(np.bitwise_count(own[k : k + step, None] ^ other[None, :]).max()) for k in range(0, len(own), step)), default=0)
+        return pa.table({"group_id": part.column("group_id").slice(0, 1), "far": pa.array([far], pa.int32())})
+
+    n = F.ceil(F.col("points") / PART_ROWS).cast("int")
+    own = points.join(counts.select("group_id", n.alias("parts")), "group_id").withColumn("own", F.pmod(F.xxhash64("bits"), F.col("parts")).cast("int"))
+    # Part i meets part j in block (i, j), i <= j; the rows of part i are its members.
+    blocks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), (F.col("own") <= j).alias("member")))
+    dealt = own.select("group_id", "bits", F.explode(blocks).alias("x")).select("group_id", "bits", "x.*")
+    return dealt.groupBy("group_id", "i", "j").applyInArrow(compare, f"group_id {points.schema['group_id'].dataType.simpleString()}, far int")
+
+
 def distance_sensitivity(entries: DataFrame, distances: list[int], t: SimilarThresholds = SimilarThresholds()) -> DataFrame:
     """distance, n_pairs, n_groups, n_contents for each distance; the pairs are found once, for the largest."""
     spark = entries.sparkSession

@@ -51,3 +51,15 @@ def test_a_hundred_thousand_fingerprints_lose_no_planted_pair(spark, distance):
     frame = spark.createDataFrame(pd.DataFrame({"content_hash": [f"{k:08d}" for k in range(len(bits))], "bits": np.array(bits, np.int64)}))
     got = {(r.a, r.b) for r in S.hamming_pairs(frame, S.SimilarThresholds(distance)).collect()}
     assert {(f"{k:08d}", f"{n + k:08d}") for k in range(near)} <= got
+
+
+@pytest.mark.parametrize("part_rows", [16_384, 40])
+def test_spread_of_groups_of_any_size_is_exact(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(S, "PART_ROWS", part_rows)
+    wide, narrow = fingerprints(200, 0, 0, 7), [(1 << k) | (1 << 62) for k in range(30)] + [1 << 62] * 70
+    sets = {"wide": wide, "narrow": narrow, "copies": [5] * 90, "pair": [0, 7], "one": [9], "unknown": [None, 3]}
+    rows = [(g, f"{g}{k:03d}", b) for g, bits in sets.items() for k, b in enumerate(bits)]
+    frame = spark.createDataFrame(rows, "group_id string, content_hash string, bits long")
+    got = {r.group_id: (r["size"], r.spread, r.kind) for r in S.group_spread(frame.drop("bits"), frame.drop("group_id"), 4).collect()}
+    far = max((a ^ b).bit_count() for a in wide for b in wide)
+    assert got == {"wide": (200, far, "scene"), "narrow": (100, 2, "copies"), "copies": (90, 0, "copies"), "pair": (2, 3, "copies"), "one": (1, None, "scene"), "unknown": (2, None, "scene")}

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import lean, least_hashes, pick, row_key, slices
 from shelfmark.llm.rolling import mixed
-from shelfmark.operators.components import connected_components
+from shelfmark.operators.components import FEW_EDGES, connected_components
 from shelfmark.session import checkpointed, read_table
 
 SEED = 42
@@ -405,12 +405,12 @@ def simhash_groups(
     )
     edges = hamming_links(points, link_bits, confirm_bits, lanes, leaf_members)
     if similarity is not None:
-        near = checkpointed(connected_components(checkpointed(edges.unionAll(key_links(points)))))
+        near = checkpointed(connected_components(checkpointed(edges.unionAll(key_links(points))), few=FEW_EDGES))
         chosen = points.join(near.hint("merge"), "node").select("node", "component", F.col("first.rk1").alias("rk1"), F.col("first.rk2").alias("rk2"))
         texts = pick(docs, id_col, text_col).select(*row_key(F.col("doc_id"), F.col("text")), "text").join(chosen.hint("merge"), ["rk1", "rk2"])
         edges = similar_links(texts, words, similarity)
     edges = checkpointed(edges)
-    labels = connected_components(edges).withColumnRenamed("component", "root")
+    labels = connected_components(edges, few=FEW_EDGES).withColumnRenamed("component", "root")
     rooted = points.join(labels.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = checkpointed(rooted)
     least = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("keep")))

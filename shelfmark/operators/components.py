@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from shelfmark.session import checkpointed
 
+#: Edges up to which one task finds the components: some 16 bytes each, where rounds of steps take dozens of stages.
+FEW_EDGES = 200_000
+
 
 def _star(pairs: DataFrame) -> DataFrame:
     """(u, v) neighbour rows with the least of u and its neighbours: partial minima are taken before the shuffle.
@@ -45,7 +48,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", f
     Where there are ``few`` edges at most, one task finds the components instead; they are the same.
     """
     edges = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    if few and edges.limit(few + 1).count() <= few:
+    if few and edges.count() <= few:
         kind = edges.schema["u"].dataType.simpleString()
         return edges.groupBy(F.lit(0).alias("all")).applyInArrow(lambda part: _together(part.select(["u", "v"])), f"node {kind}, component {kind}")
     nodes = edges.select("u").unionAll(edges.select(F.col("v").alias("u"))).distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.measures import aspect_log_ratio, hamming
-from shelfmark.operators.components import connected_components
+from shelfmark.operators.components import FEW_EDGES, connected_components
 from shelfmark.session import checkpointed
 
 BITS = 63
@@ -19,8 +19,6 @@ BITS = 63
 DENSE_BLOCKS = 1 / 100
 #: Rows of a part that one task compares with another part.
 PART_ROWS = 16_384
-#: Edges up to which the components of similar pairs are found in one task.
-FEW_EDGES = 200_000
 #: Different fingerprints of a group up to which Spark pairs them; in larger groups parts are compared in numpy.
 JOINED_SPREAD = 64
 

@@ -89,3 +89,18 @@ def test_names_after_line_breaks_are_names(spark):
     docs = spark.createDataFrame([(1, wrapped), (2, item.replace(" ", "  "))], "doc_id long, text string")
     items = spark.createDataFrame([(9, item)], "item_id long, text string")
     assert sorted((r.doc_id, r.containment) for r in contaminated(docs, items).collect()) == [(1, 1.0), (2, 1.0)]
+
+
+def test_components_of_few_links_take_few_jobs(spark, monkeypatch):
+    r = random.Random(11)
+    texts = [t for _ in range(40) for t in family(r, 300, [1, 2, 3])] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found, jobs = [], []
+    for few in (200_000, 0):  # in one task, and by rounds of steps
+        monkeypatch.setattr(S, "FEW_EDGES", few, raising=False)
+        spark.sparkContext.setJobGroup(f"few-{few}", "")
+        found.append({x.doc_id: x.component_id for x in S.simhash_groups(docs, **corpus_pipeline.NEAR).collect()})
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"few-{few}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0] == found[1] and len(set(found[0].values())) == 41
+    assert 2 * jobs[0] < jobs[1], jobs
